@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base, _words
@@ -138,7 +139,7 @@ def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int) -> Da
 
 
 def _open(table: pa.Table, known: bool) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.filter(pa.compute.equal(table["known"], known))
+    rows = table.filter(pc.equal(table["known"], known))
     join = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
     return np.repeat(join("ids", np.int64), join("counts", np.int32)), join("labels", np.uint64)
 
@@ -152,21 +153,29 @@ def _nodes(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids, labels, begins, node
 
 
-def _repeats(leaves: DataFrame) -> DataFrame:
-    """doc_id and the labels of its windows that also start in a smaller doc_id; some rows for each document."""
+def _bucket(doc_id: np.ndarray, n: int) -> np.ndarray:
+    return (doc_id ^ (doc_id >> 17) ^ (doc_id >> 31)) % n
+
+
+def _bucket_column(doc_id: str, n: int) -> Column:
+    """The same in Spark."""
+    x = F.col(doc_id)
+    return F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 31)), F.lit(n))
+
+
+def _repeats(leaves: DataFrame, n_buckets: int) -> DataFrame:
+    """Labels of windows that also start in a smaller doc_id, by document; a row for each subtree and bucket of documents."""
 
     def subtree(table: pa.Table) -> pa.Table:
         ids, labels, begins, node = _nodes(*_open(table, False))
         later = ids > ids[begins][node] if len(ids) else np.zeros(0, bool)
         known_ids, known_labels = _open(table, True)
         ids, labels = np.r_[ids[later], known_ids], np.r_[labels[later], known_labels]
-        order = np.argsort(ids, kind="stable")
-        ids, labels = ids[order], labels[order]
-        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(ids)]
-        return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "labels": pa.array([labels[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+        kinds, owner = np.unique(ids, return_inverse=True)
+        rows = list(_pack(_bucket(ids, n_buckets), True, kinds, owner, labels))
+        return pa.table({name: pa.array([r[k] for r in rows], t) for name, k, t in (("bucket", 0, pa.int64()), ("ids", 2, pa.binary()), ("counts", 3, pa.binary()), ("labels", 4, pa.binary()))})
 
-    return leaves.groupBy("tree").applyInArrow(subtree, "doc_id long, labels binary")
+    return leaves.groupBy("tree").applyInArrow(subtree, "bucket long, ids binary, counts binary, labels binary")
 
 
 def repeat_nodes(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> DataFrame:
@@ -183,6 +192,14 @@ def repeat_nodes(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int =
     return _leaves(docs, window, trees, n).groupBy("tree").applyInArrow(subtree, "label long, first_doc long")
 
 
+def _by_document(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    ids, labels = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(ids, kind="stable")
+    ids, labels = ids[order], labels[order]
+    cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+    return {int(ids[a]): labels[a:b] for a, b in zip(cuts[:-1], cuts[1:])}
+
+
 def _spans(at: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Union of [a, a + window): the maximal repeats of one document, in words."""
     if not len(at):
@@ -207,30 +224,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: in
     """
     _base.require(docs, "doc_id", "text")
     spark = docs.sparkSession
-    trees, n = plan_trees(_prefix_counts(docs, window), suffixes_per_tree, 2 * _base.shuffle_partitions(spark))
-    repeats = _repeats(_leaves(docs, window, trees, n))
-    labelled = repeats.select("doc_id", F.lit(None).cast("string").alias("text"), "labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("labels"))
-    # Labels come before the text of their document; nothing is collected by key.
+    counts = _prefix_counts(docs, window)
+    trees, n = plan_trees(counts, suffixes_per_tree, 2 * _base.shuffle_partitions(spark))
+    # A bucket's labels are held at once: as many buckets as keep that near a subtree's size.
+    n_buckets = max(_base.shuffle_partitions(spark), int(counts[0].sum()) // suffixes_per_tree + 1)
+    repeats = _repeats(_leaves(docs, window, trees, n), n_buckets)
+    labelled = repeats.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "labels")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "counts", "labels")]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = own.select(F.coalesce(_bucket_column("doc_id", n_buckets), F.pmod(F.xxhash64("text"), F.lit(n_buckets))).alias("bucket"), "doc_id", "text", *nothing)
     both = labelled.unionByName(texts).withColumn("is_text", F.col("labels").isNull())
-    salted = both.withColumn("at", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.col("doc_id")))
-    dealt = salted.repartition(_base.shuffle_partitions(spark), "at").sortWithinPartitions("at", "doc_id", "is_text").select("doc_id", "text", "labels")
+    # A bucket's labels come before its texts.
+    dealt = both.repartition(_base.shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "is_text").drop("is_text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, parts, repeated, has = None, [], {}, False
         for batch in batches:
             out = []
-            for doc_id, text, labels in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("labels").to_pylist()):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids", "counts", "labels")]
+            for bucket, doc_id, text, ids, counts, labels in zip(*columns[:2], batch.column("text").cast(pa.binary()).to_pylist(), *columns[2:]):
+                if bucket != current:
+                    current, parts, repeated, has = bucket, [], {}, False
                 if labels is not None:
-                    if doc_id != current:
-                        current, held = doc_id, []
-                    held.append(labels)
+                    parts.append((np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(labels, np.uint64)))
                     continue
+                if parts and not has:
+                    repeated, has = _by_document(parts), True
+                    parts = []
                 chunk, words, at, _ = _suffixes([text or b""], window)
                 removed = []
-                if held and doc_id == current and doc_id is not None:
-                    repeated = np.frombuffer(b"".join(held), np.uint64)
-                    removed = _spans(at[np.isin(_words.window_hashes(words, at, window), repeated)], window)
+                if doc_id in repeated:
+                    removed = _spans(at[np.isin(_words.window_hashes(words, at, window), repeated[doc_id])], window)
                 keep = np.ones(len(words), bool)
                 for a, b in removed:
                     keep[a:b] = False
