@@ -105,6 +105,8 @@ def _deal(trees: np.ndarray, n: int, cells: list[np.ndarray], labels: np.ndarray
 
 def _pack(tree: np.ndarray, known: bool, ids: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> Iterator[tuple]:
     """One row for each tree: doc ids, leaves of each, and their labels one after the other."""
+    if not len(tree):
+        return
     order = np.lexsort((owner, tree))
     tree, owner, labels = tree[order], owner[order], labels[order]
     cuts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1], True])
