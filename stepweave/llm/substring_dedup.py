@@ -237,7 +237,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: in
     texts = own.select(F.coalesce(_bucket_column("doc_id", n_buckets), F.pmod(F.xxhash64("text"), F.lit(n_buckets))).alias("bucket"), "doc_id", "text", *nothing)
     both = labelled.unionByName(texts).withColumn("is_text", F.col("labels").isNull())
     # A bucket's labels come before its texts.
-    dealt = both.repartition(_base.shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "is_text").drop("is_text")
+    dealt = both.repartitionById(n_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "is_text").drop("is_text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, repeated, has = None, [], {}, False
