@@ -33,6 +33,8 @@ WINDOW = 13
 SUFFIXES_PER_TREE = 4_000_000
 CELLS = 1 << 13
 LEVELS = 3
+#: Rows in a chunk of this size share the leaves of equal labels.
+CHUNK_BYTES = 4 << 20
 
 _LEAVES = "tree int, known boolean, ids binary, counts binary, labels binary"
 
@@ -54,7 +56,7 @@ def _prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LEVELS, CELLS), np.int64)
-        for _, raw in _words.rows_in_chunks(batches):
+        for _, raw in _words.rows_in_chunks(batches, limit=CHUNK_BYTES):
             _, words, at, _ = _suffixes(raw, window)
             for level, cells in enumerate(_cells(words, at)):
                 total[level] += np.bincount(cells, minlength=CELLS)
@@ -117,7 +119,7 @@ def _pack(tree: np.ndarray, known: bool, ids: np.ndarray, owner: np.ndarray, lab
 
 def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, raw in _words.rows_in_chunks(batches):
+        for columns, raw in _words.rows_in_chunks(batches, limit=CHUNK_BYTES):
             named = [i for i, x in enumerate(columns["doc_id"]) if x is not None]
             named.sort(key=columns["doc_id"].__getitem__)
             ids = np.array([columns["doc_id"][i] for i in named], np.int64)
