@@ -15,7 +15,7 @@ TUPLE = "tuple_idx"
 
 @dataclass(frozen=True)
 class Tuples:
-    """A table of tuple_idx and one column for each variable, by its name with the sigil; sets are without the empty string."""
+    """A table of tuple_idx and one column for each variable, by its name with the sigil."""
 
     df: DataFrame
     variables: tuple[str, ...]
@@ -23,7 +23,7 @@ class Tuples:
     def block(self, k: int, n: int) -> list[tuple]:
         """The k-th of n parts, on the driver."""
         df = self.df if n == 1 else self.df.where(F.pmod(F.col(TUPLE), F.lit(n)) == k)
-        return [(r[0], *(frozenset(x) if isinstance(x, list) else x for x in r[1:])) for r in df.select(TUPLE, *[f"`{v}`" for v in self.variables]).collect()]
+        return [(r[0], *(frozenset(v for v in x if v) if isinstance(x, list) else x for x in r[1:])) for r in df.select(TUPLE, *[f"`{v}`" for v in self.variables]).collect()]
 
 
 def make_tuples(spark: SparkSession, program: Program, sources: list[EventSource], params: dict) -> Tuples | None:
