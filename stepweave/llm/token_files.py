@@ -18,22 +18,22 @@ ascending doc_id.
 from __future__ import annotations
 
 import struct
-import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _base
+from . import _base, _words
 
 BLOCK = 128
 PERCENTILES = (0.9, 0.95, 0.98, 1.0)
-IDS_PER_FILE = 1 << 20
+#: UTF-8 that goes into one file, about; a longer text has a file of its own.
+BYTES_PER_FILE = 2 << 20
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 _HEAD = struct.Struct("<4sIQII")
@@ -55,7 +55,7 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byt
     values = values.reshape(blocks, BLOCK)
     minimum = values.min(axis=1) if blocks else np.zeros(0, np.int64)
     values = values - minimum[:, None]
-    ranked = np.sort(values, axis=1)
+    ranked = np.sort(values.astype(np.uint32), axis=1).astype(np.int64)
     width, size = np.zeros(blocks, np.int64), np.full(blocks, np.iinfo(np.int64).max)
     for p in PERCENTILES:
         w = _bit_length(ranked[:, int(np.ceil(p * BLOCK)) - 1])
@@ -74,7 +74,9 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byt
         out[start[:, None] + np.arange(8)] = head.view(np.uint8).reshape(blocks, 8)
     for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        bits = (values[at][:, :, None] >> np.arange(w)).astype(np.uint8) & 1
+        cell = 2 if w <= 16 else 4
+        low = (values[at] & ((1 << w) - 1)).astype(f"<u{cell}").view(np.uint8).reshape(len(at), BLOCK, cell)
+        bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
         packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
         out[start[at][:, None] + 8 + np.arange(w * (BLOCK // 8))] = packed
     tail = start + 8 + width * (BLOCK // 8)
@@ -103,11 +105,10 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         packed = body[start[rows][:, None] + 8 + np.arange(w * (BLOCK // 8))]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        total = np.zeros((len(rows), BLOCK), np.int64)
-        for k in range(w):
-            total |= bits[:, :, k].astype(np.int64) << k
-        values[rows] = total
+        cell = 2 if w <= 16 else 4
+        bits = np.zeros((len(rows), BLOCK, 8 * cell), np.uint8)
+        bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        values[rows] = np.packbits(bits, axis=2, bitorder="little").view(f"<u{cell}")[:, :, 0]
     row = np.repeat(np.arange(blocks), exceptions)
     rank = np.arange(len(row)) - (np.cumsum(exceptions) - exceptions)[row]
     tail = start + 8 + width * (BLOCK // 8)
@@ -118,12 +119,34 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, values.ravel()[:n].astype(np.uint32)
 
 
+class _Pieces(dict):
+    """Ids of pieces, each found once; two generations, so that the rare ones go."""
+
+    def __init__(self, make: Callable[[bytes | str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: bytes | str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= 64:
+            self[text] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts by a public tokenizer, the same as encoding each text whole.
 
-    The vocabulary's rules never join pieces across a space, so a text's ids
-    are those of the words between its spaces, and a word's are kept while the
-    cache has room. Texts with "<|", which can begin a special token, and words
+    The vocabulary's rules never join pieces across white space, so a text's
+    ids are those of its words. Each distinct word of a chunk of texts is looked
+    up once, by 64-bit hash; ids of words and of their pieces are kept while
+    there is room. Texts with "<|", which can begin a special token, and words
     beyond Latin-1 go through the library's whole path.
     """
 
@@ -133,44 +156,61 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.cache: dict[str, bytes] = {}
         # As the vocabulary file's pre-tokenizer has it.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         #: Control characters on whose class libraries differ.
-        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]")
+        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]").search
         self.bytes = _byte_letters()
-
-    def _word(self, word: str) -> bytes:
-        if (word.isascii() or max(word) < "Ā") and not self.odd.search(word):
-            if not word.isascii():
-                word = unicodedata.normalize("NFC", word)
-            found: list[int] = []
-            for piece in self.pieces.findall(word.lower()):
-                text = piece if piece.isascii() and piece.isprintable() else "".join(self.bytes[b] for b in piece.encode())
-                found += [t.id for t in self.model.tokenize(text)]
-        else:
-            found = self.whole.encode(word, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if "<|" in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        own: dict[str, bytes] = {}
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        for w in words:
-            if w not in cache and w not in own:
-                own[w] = self._word(w)
-                if len(w) <= 40:
-                    cache[w] = own[w]
-        return b"".join([cache[w] if w in cache else own[w] for w in words])
+        self.pieces = _Pieces(self._piece)
+        self.words = _Pieces(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join([self.bytes[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if not raw.isascii():
+            try:
+                word.encode("latin-1")  # has no other normal form and is lower-cased letter by letter
+            except UnicodeEncodeError:
+                return self._whole(word)
+        if word.isalpha():
+            return self.pieces[word.lower()]
+        if self.odd(word):
+            return self._whole(word)
+        return b"".join([self.pieces[x] for x in self.split(word.lower())])
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, each closed by end_id, and how many each has."""
+        special = {i: self._whole(x.decode()) for i, x in enumerate(raw) if b"<|" in x}
+        chunk = _words.Chunk([b"" if i in special else x for i, x in enumerate(raw)])
+        _, first, kind = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
+        joined, words = chunk.data.tobytes(), self.words
+        found = [words[joined[a:b]] for a, b in zip(chunk.start[first].tolist(), chunk.end[first].tolist())]
+        # After the words' ids come the end id and the texts that were encoded whole.
+        found += [struct.pack("<I", end_id), *special.values()]
+        end = len(found) - len(special) - 1
+        last = np.full(len(raw), end)
+        order = np.insert(kind, chunk.first[1:], last) if len(raw) else kind
+        if special:
+            places = (chunk.first[1:] + np.arange(len(raw)))[list(special)]
+            order = np.insert(order, places, np.arange(end + 1, len(found)))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        begin = np.cumsum(size) - size
+        n = size[order]
+        stop = np.cumsum(n)
+        ids = flat[np.arange(int(n.sum())) + np.repeat(begin[order] - (stop - n), n)]
+        ends = stop[np.flatnonzero(order == end)]
+        self.pieces.trim()
+        self.words.trim()
+        return ids, np.diff(np.r_[0, ends])
 
 
 def _byte_letters() -> list[str]:
@@ -192,7 +232,7 @@ def _encoder(path: str) -> Encoder:
 _FILES = "part int, seq int, n_ids long, n_docs long, content binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, ids_per_file: int = IDS_PER_FILE, text: str = "text") -> None:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bytes_per_file: int = BYTES_PER_FILE, text: str = "text") -> None:
     """Writes the ids of all documents, each ended by end_id, as a table of files in ascending doc_id order.
 
     Null texts have the end id only. Null doc_ids stand first and are stored as
@@ -204,29 +244,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     n = _base.shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     dealt = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode
-        part, seq, ids, parts, size = 0, 0, [], [], 0
-
-        def file() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(parts), "<u4")
-            content = encode_file(np.array(ids, np.int64), np.array([len(x) // 4 for x in parts], np.int64), tokens)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["part", "seq", "n_ids", "n_docs", "content"])
-
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(0)[0].as_py()
-            for doc_id, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids.append(doc_id)
-                parts.append((encode(value) if value else b"") + end)
-                size += len(parts[-1]) // 4
-                if size >= ids_per_file:
-                    yield file()
-                    seq, ids, parts, size = seq + 1, [], [], 0
-        if ids:
-            yield file()
+        encode, seq = _encoder(tokenizer).encode, 0
+        for columns, raw in _words.rows_in_chunks(batches, limit=bytes_per_file):
+            ids, counts = encode(raw, end_id)
+            content = encode_file(np.array(columns["doc_id"], np.int64), counts, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(columns["part"][:1], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([content], pa.binary())], names=["part", "seq", "n_ids", "n_docs", "content"])
+            seq += 1
 
     dealt.mapInArrow(write, _FILES).write.option("compression", "uncompressed").parquet(path)
 
