@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op6_decontamination
 from .language_id import op2_language_id
-from .line_dedup import OP8_SQL, op8_line_dedup
+from .line_dedup import op8_line_dedup
 from .media import op10_media
 from .ngram_join import op9_ngram_join
+from .oracles import ORACLE_SQL
 from .packing import op3_packing
 from .secrets import op1_secret_scan
 from .sharding import op4_sharding
@@ -30,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
