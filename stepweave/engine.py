@@ -58,6 +58,7 @@ def run(
     functions: Functions | dict[str, Callable[..., str]] | None = None,
     drop_overlap: bool = True,
     eager_outer_expiry: bool = False,
+    hll_input: str = "text",
     plan: str | None = None,
 ) -> Result:
     """Sets up the program's results over the sources, read in the order given.
@@ -65,6 +66,8 @@ def run(
     drop_overlap: events before the end of the source before are left out.
     eager_outer_expiry: an outer window ends what is in it at its time; without
     it, only once the block inside has run out or the history ends.
+    hll_input: sketches hash a tuple's "text", items joined by commas, or its
+    "encoded" form with a type for each item.
     plan: "matcher" keeps the general plan where another would do.
     """
     program = as_program(program)
@@ -77,10 +80,13 @@ def run(
     missing = [v for v in program.free if v not in params]
     if missing:
         raise ValueError(f"missing parameters: {', '.join(missing)}")
+    if hll_input not in ("text", "encoded"):
+        raise ValueError(f"No such input of sketches: {hll_input}")
+    encoded = hll_input == "encoded" and "hll" in program.results.values()
     with functions.around():
         events, fields, distinct = prepare(program, sources, event_filter, windows, excludes, drop_overlap)
         tuples = make_tuples(events.sparkSession, program, sources, params)
-        if (plan or plan_of(program)) == "stateless":
+        if not encoded and (plan or plan_of(program)) == "stateless":
             kept = events if distinct else filters.without_repeats(events, fields)
             return Result(program, tuples, stateless.match(kept, program, params, tuples, fields))
-        return Result(program, tuples, matching.match(events, program, params, tuples, dict(functions), fields, distinct, eager_outer_expiry))
+        return Result(program, tuples, matching.match(events, program, params, tuples, dict(functions), fields, distinct, eager_outer_expiry, encoded))

@@ -12,6 +12,8 @@ of which the first has its highest bit set and the upper seven bits.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -55,6 +57,18 @@ def murmur3_low(data: bytes, seed: int = 0) -> int:
     return (h1 + h2) & _M
 
 
+def encode_tuple(values: Iterable[str], raw: Iterable[bool]) -> bytes:
+    """The tagged form of a value tuple: items begin with S, or B for raw bytes given in hex, and are parted by commas.
+
+    A comma, a zero byte and a byte 0xff inside an item are 0xff and 0xfd, 0xfe or 0xff.
+    """
+    items = []
+    for value, is_raw in zip(values, raw):
+        data = bytes.fromhex(value) if is_raw and re.fullmatch("(?:[0-9a-f]{2})*", value) else value.encode()
+        items.append((b"B" if is_raw else b"S") + data.replace(b"\xff", b"\xff\xff").replace(b",", b"\xff\xfd").replace(b"\0", b"\xff\xfe"))
+    return b",".join(items)
+
+
 def slot(text: str | bytes, precision: int = PRECISION) -> tuple[int, int]:
     """(register, rank) of a value."""
     h = murmur3_low(text.encode() if isinstance(text, str) else text)

@@ -18,8 +18,8 @@ import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from ..dsl.program import After, Call, Clause, Field, Literal, Move, Param, Program, WindowStart
-from ..functions.hll import PRECISION, slot
+from ..dsl.program import After, Call, Clause, Field, Literal, Move, Param, Program, WindowStart, Yield
+from ..functions.hll import PRECISION, encode_tuple, slot
 
 NEVER = (1 << 64) - 1
 END_TS = (1 << 64) - 2
@@ -57,8 +57,8 @@ class History:
 class Machine:
     """A program compiled to closures over event values, by position in ``fields``."""
 
-    def __init__(self, program: Program, fields: list[str], functions: dict[str, Callable[..., str]], eager_outer_expiry: bool = False, precision: int = PRECISION):
-        self.program, self.functions, self.eager, self.precision = program, functions, eager_outer_expiry, precision
+    def __init__(self, program: Program, fields: list[str], functions: dict[str, Callable[..., str]], eager_outer_expiry: bool = False, encoded_sketches: bool = False, precision: int = PRECISION):
+        self.program, self.functions, self.eager, self.encoded, self.precision = program, functions, eager_outer_expiry, encoded_sketches, precision
         self.place = {f: i for i, f in enumerate(fields)}
         self.variables = {v: i for i, v in enumerate((*program.bound, *program.free))}
         self.depth = [len(b.windows) for b in program.blocks]
@@ -93,7 +93,13 @@ class Machine:
         return lambda e, ts, p: p[param] == e[at]
 
     def _edge(self, index: int, edge: Clause | After) -> tuple[list, Move]:
-        return [(y.target, y.kind, [self._term(index, t) for t in y.terms]) for y in edge.yields], edge.move
+        return [(y.target, self._sketched(y) if y.kind == "hll" else None, [self._term(index, t) for t in y.terms]) for y in edge.yields], edge.move
+
+    def _sketched(self, y: Yield) -> Callable[[tuple], tuple[str, str]]:
+        """Values to register and rank."""
+        raw = [isinstance(t, Field) and t.name == "cookie" for t in y.terms]
+        text = (lambda values: encode_tuple(values, raw)) if self.encoded else ",".join
+        return lambda values: tuple(map(str, slot(text(values), self.precision)))
 
     def _term(self, index: int, t) -> Callable[[tuple | None, int, list, list, History], str]:
         if isinstance(t, Field):
@@ -143,12 +149,9 @@ class Machine:
     def _take(self, s: list, edge: tuple[list, Move], e: tuple | None, ts: int, p: list, h: History, emit: Callable) -> bool:
         """Yields and moves; whether the event has been taken."""
         yields, move = edge
-        for target, kind, terms in yields:
-            if kind == "counter":
-                emit(target, ())
-            else:
-                values = tuple([t(e, ts, p, s, h) for t in terms])
-                emit(target, tuple(map(str, slot(",".join(values), self.precision))) if kind == "hll" else values)
+        for target, sketched, terms in yields:
+            values = tuple([t(e, ts, p, s, h) for t in terms])
+            emit(target, sketched(values) if sketched else values)
         if move.kind == "repeat":
             return True
         if move.kind == "quit":

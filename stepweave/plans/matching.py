@@ -26,7 +26,7 @@ TUPLES_PER_PASS = 100_000
 RESULTS_HELD = 100_000
 
 
-def match(events: DataFrame, program: Program, params: dict, tuples: Tuples | None, functions: dict, fields: list[str], distinct: bool, eager_outer_expiry: bool) -> DataFrame:
+def match(events: DataFrame, program: Program, params: dict, tuples: Tuples | None, functions: dict, fields: list[str], distinct: bool, eager_outer_expiry: bool, encoded_sketches: bool = False) -> DataFrame:
     """tuple_idx (null: of all tuples), var, key, n, partly added up; ``fields`` are all columns that repeated events are judged by."""
     own = program.fields
     others = [] if distinct else [f for f in fields if f not in own]
@@ -37,7 +37,7 @@ def match(events: DataFrame, program: Program, params: dict, tuples: Tuples | No
     n_own = len(own)
 
     def passed(index: Index | None) -> DataFrame:
-        machine = lambda: Machine(program, own, functions, eager_outer_expiry)
+        machine = lambda: Machine(program, own, functions, eager_outer_expiry, encoded_sketches)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(machine(), free, index, not distinct, n_own)

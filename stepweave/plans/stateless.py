@@ -1,9 +1,12 @@
-"""The plan for one block that only counts: filters, a join with the tuples, aggregation; no Python, no order.
+"""The plan for one block: filters, a join with the tuples, aggregation; no Python.
 
 Each event takes its first matching clause. For foreach, every clause that
 looks at a variable must compare one and the same field with it, so that only
 events joined with a tuple on that value can differ from the rest: the rest's
 results count for all tuples and are taken back for the joined ones.
+
+Without foreach, clauses may also quit: a history's events after its first such
+event are left out by a minimum over the history.
 """
 
 from __future__ import annotations
@@ -11,14 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dsl.program import Clause, Condition, Field, Literal, Param, Program, Yield
 from ..functions.hll import slot
 from ..operators.filters import END, KEY, START, equals
 from ..operators.foreach import TUPLE, Tuples
-from ..sources.events import TS
+from ..sources.events import SEQ, SOURCE, TS
 
 _HASH_FIELD = "_hll"
 
@@ -41,7 +44,10 @@ def applies(program: Program) -> bool:
         return False
     b = program.blocks[0]
     plain = all(isinstance(t, Field | Literal) for y in program.yields for t in y.terms)
-    if b.is_window or any(c.move.kind != "repeat" for c in b.clauses) or not all(isinstance(t, Field | Literal) for c in b.clauses for y in c.yields for t in y.terms):
+    quits = any(c.move.kind == "quit" for c in b.clauses)
+    if quits and (program.foreach or not any(not c.conditions and not c.negated for c in b.clauses)):
+        return False
+    if b.is_window or any(c.move.kind not in ("repeat", "quit") for c in b.clauses) or not all(isinstance(t, Field | Literal) for c in b.clauses for y in c.yields for t in y.terms):
         return False
     if not plain and any(b.after.yields):
         return False
@@ -60,12 +66,17 @@ def match(events: DataFrame, program: Program, params: dict, tuples: Tuples | No
         tests = [_test(c, column, lambda name: bound(name) if name in program.bound else value(name)) for c in clauses]
         taken = reduce(lambda rest, i: F.when(tests[i], i).otherwise(rest), range(len(tests) - 1, -1, -1), _none_matches(program, clauses))
         yielding = [i for i in only if clauses[i].yields]
+        quitting = [i for i in only if clauses[i].move.kind == "quit"]
         if not yielding:
             return None
-        wanted = reduce(lambda a, b: a | b, [tests[i] for i in yielding])
+        wanted = reduce(lambda a, b: a | b, [tests[i] for i in {*yielding, *quitting}])
         exhaustive = any(not c.conditions and not c.negated for c in clauses)
         rows = df.where(wanted) if exhaustive else df  # reaches the scan; the taken clause decides
-        rows = rows.withColumn("_clause", taken).where(F.col("_clause").isin(yielding))
+        rows = rows.withColumn("_clause", taken).where(F.col("_clause").isin([*yielding, *quitting]))
+        if quitting:
+            place = F.struct(SOURCE, TS, SEQ)
+            last = F.min(F.when(F.col("_clause").isin(quitting), place)).over(Window.partitionBy(KEY))
+            rows = rows.withColumn("_last", last).where((F.col("_last").isNull() | (place <= F.col("_last"))) & F.col("_clause").isin(yielding))
         made = reduce(lambda rest, i: F.when(F.col("_clause") == i, _made(clauses[i].yields, column)).otherwise(rest), yielding, F.lit(None))
         return rows.select(index.alias("tuple_idx"), F.explode(made).alias("y")).select("tuple_idx", "y.var", "y.key", F.lit(sign).cast("long").alias("n"))
 

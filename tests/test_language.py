@@ -89,7 +89,9 @@ def test_not_supported():
 
 def test_plan_choice():
     assert plan_of(parse("a ->\n    receive\n        * -> yield $n")) == "stateless"
-    assert plan_of(parse("a ->\n    receive\n        * -> quit")) == "matcher"
+    assert plan_of(parse("a ->\n    receive\n        * -> quit")) == "stateless"
+    assert plan_of(parse("a ->\n    receive\n        x = 'y' -> quit")) == "matcher"
+    assert plan_of(parse("a ->\n    receive\n        * -> repeat\nb ->\n    receive\n        * -> quit")) == "matcher"
     assert plan_of(parse("foreach %x,%y in @z\n    a ->\n        receive\n            p = %x -> yield $n\n            q = %y -> yield $m\n            * -> repeat")) == "matcher"
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stepweave import Functions, from_ir, histories_from_json, parse, run
-from stepweave.functions.hll import slot
+from stepweave.functions.hll import encode_tuple, slot
 from stepweave.plans.machine import END_TS, Machine, Matcher, NonExhaustive, Tuples
 from stepweave.sinks import as_json
 
@@ -175,6 +175,15 @@ def test_sketch_registers(spark):
     assert {(int(r["key"][0]), r["n"]) for r in got.long().collect()} == want
 
 
+def test_encoded_sketch(spark):
+    assert encode_tuple(["6162", "a,b\0", ""], [True, False, False]) == b"Bab,Sa\xff\xfdb\xff\xfe,S"
+    source = histories_from_json(spark, trails([(0, "x", "u")]))
+    got = run("a ->\n    receive\n        * -> yield cookie,k to ^s", source, hll_input="encoded").long().first()
+    assert (int(got["key"][0]), got["n"]) == slot(b"Bh0" + b"\xff\xfe" * 14 + b",Su")
+    with pytest.raises(ValueError, match="No such input"):
+        run("a ->\n    receive\n        * -> yield $n", source, hll_input="other")
+
+
 def test_empty_source(spark):
     empty = histories_from_json(spark, [{}])
     text = "foreach %t in @z\n    a ->\n        receive\n            type = %t -> yield $n, yield k to #s, yield k to &m, yield k to ^h\n            * -> repeat"
@@ -188,6 +197,7 @@ FLAT = [
     "foreach %t in @t\n    a ->\n        receive\n            type = %t -> yield $n, yield k to #s\n            k = '1' -> yield $one, yield type to &m\n            * -> repeat",
     "foreach %t,#k in @tk\n    a ->\n        receive\n            k = '2' -> yield $two\n            type = %t, k in #k -> yield $n, yield cookie to #who\n            * -> yield $rest",
     "foreach %t,#k in @tk merged results\n    a ->\n        receive\n            type = %t, k in #k, timestamp < 7 -> yield $n, yield k to &m, yield k to ^h\n            type = 'b' -> yield $b\n            * -> repeat",
+    "a ->\n    receive\n        type = 'b', k = '1' -> yield $b, quit\n        k = '3' -> quit\n        type = 'a' -> yield $a, yield k to #s, repeat\n        * -> yield $rest",
     "foreach %t\n    a ->\n        receive\n            type = %t -> yield $n\n            * -> repeat",
 ]
 PARAMS = {"@t": [["a"], ["b"], ["nosuch"], [""]], "@tk": [["a", ["1", "2"]], ["b", ["2", ""]], ["a", []], ["a", ["1"]]]}
