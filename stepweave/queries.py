@@ -418,8 +418,8 @@ start ->
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third customer's key as a user id, from a day of its own for a week."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0")
+    """Every customer's key as a user id, from one of ten days for a week."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return c.select(F.col("c_custkey").cast("string").alias("_id"), (F.lit(T0) + F.col("c_custkey") % 10 * DAY).alias("start"), (F.lit(T0) + (F.col("c_custkey") % 10 + 7) * DAY).alias("end"))
 
 
@@ -430,7 +430,7 @@ def _windows_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.unionByName(late)
 
 
-_WINDOWS_SQL = f"w AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {T0} + c_custkey % 10 * {DAY} AS low, {T0} + (c_custkey % 10 + 7) * {DAY} AS high FROM customer WHERE c_custkey % 3 = 0)"
+_WINDOWS_SQL = f"w AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {T0} + c_custkey % 10 * {DAY} AS low, {T0} + (c_custkey % 10 + 7) * {DAY} AS high FROM customer)"
 
 
 @_query("q27_windows", _sql("SELECT '&seen' AS var, id || '|' || low || '|' || high AS value, count(*) AS n FROM ev JOIN w USING (id) WHERE type = 'click' AND ts >= low AND ts < high GROUP BY id, low, high", _WINDOWS_SQL))
@@ -451,12 +451,17 @@ def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(engine.run(BOUNDS, events(spark, sf_dir), windows=_windows_with_id(spark, sf_dir)))
 
 
-@_query("q29_excludes", _sql("SELECT count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type <> 'click') AS others FROM ev WHERE CAST(id AS BIGINT) % 5 <> 0"))
+@_query("q29_excludes", _sql("SELECT count(*) FILTER (type = 'click') AS clicks, count(*) FILTER (type <> 'click') AS others FROM ev WHERE id NOT IN (SELECT id FROM ev WHERE type = 'error' AND k = '13')"))
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("_id")).distinct()
+    """Without the users who ever had an error 13."""
+    out = _users(spark, sf_dir, "event_type = 'error' and get_json_object(props, '$.k') = '13'")
     return counters(engine.run(BY_TYPE, events(spark, sf_dir), excludes=out))
 
 
+def _users(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where(where).select(F.col("user_id").cast("string").alias("_id")).distinct()
+
+
 def _slices(spark: SparkSession, sf_dir: str) -> list[EventSource]:
     """Three sources, ten days each."""
     return [events(spark, sf_dir, where=f"event_type is not null and ts >= TIMESTAMP_NTZ'2024-01-{a}' and ts < TIMESTAMP_NTZ'2024-{b}'") for a, b in (("01", "01-11"), ("11", "01-21"), ("21", "02-11"))]
@@ -557,21 +562,21 @@ def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("`^users`").alias("users"), F.col("`^pairs`").alias("pairs"))
 
 
-@_query("q38_extract", _sql("SELECT id, ts, type, k FROM ev WHERE id IN ('1', '2', '3')"))
+@_query("q38_extract", _sql("SELECT id, ts, type, k FROM ev WHERE id IN (SELECT id FROM ev WHERE type = 'signup' AND k = '5')"))
 def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_histories([events(spark, sf_dir)], ["1", "2", "3"]).select("id", "ts", "type", "k")
+    return extract_histories([events(spark, sf_dir)], _users(spark, sf_dir, "event_type = 'signup' and get_json_object(props, '$.k') = '5'")).select("id", "ts", "type", "k")
 
 
 @_query(
     "q39_extract_union",
     _sql(
-        "SELECT id, 0 AS source, ts, type, k, '' AS status FROM ev WHERE id IN ('1', '2') AND type <> 'error' UNION ALL "
-        "SELECT CAST(o_custkey AS VARCHAR), 1, epoch_us(o_orderdate) // 1000000, '', '', o_orderstatus FROM orders WHERE o_custkey IN (1, 2)"
+        "SELECT id, 0 AS source, ts, type, k, '' AS status FROM ev WHERE type <> 'error' UNION ALL "
+        "SELECT CAST(o_custkey AS VARCHAR), 1, epoch_us(o_orderdate) // 1000000, '', '', o_orderstatus FROM orders"
     ),
 )
 def q39(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"clauses": [[{"field": "type", "value": "error", "op": "notequal"}]]}
-    return extract_histories([events(spark, sf_dir), orders(spark, sf_dir)], ["1", "2"], spec).select("id", "source", "ts", "type", "k", "status")
+    return extract_histories([events(spark, sf_dir), orders(spark, sf_dir)], None, spec).select("id", "source", "ts", "type", "k", "status")
 
 
 @_query("q40_lexicon", _sql("SELECT DISTINCT type AS value FROM ev UNION SELECT ''"))
