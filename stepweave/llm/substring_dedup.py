@@ -19,7 +19,7 @@ a label are known to repeat and are passed on as such.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +142,17 @@ def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(emit, _LEAVES)
 
 
+def _each_tree(leaves: DataFrame, n: int, subtree: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One partition, and so one task, for each subtree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from subtree(pa.Table.from_batches(held)).to_batches()
+
+    return leaves.repartitionById(n, F.col("tree")).mapInArrow(run, schema)
+
+
 def _open(table: pa.Table, known: bool) -> tuple[np.ndarray, np.ndarray]:
     rows = table.filter(pc.equal(table["known"], known))
     join = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
@@ -167,7 +178,7 @@ def _bucket_column(doc_id: str, n: int) -> Column:
     return F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 31)), F.lit(n))
 
 
-def _repeats(leaves: DataFrame, n_buckets: int) -> DataFrame:
+def _repeats(leaves: DataFrame, n: int, n_buckets: int) -> DataFrame:
     """Labels of windows that also start in a smaller doc_id, by document; a row for each subtree and bucket of documents."""
 
     def subtree(table: pa.Table) -> pa.Table:
@@ -179,7 +190,7 @@ def _repeats(leaves: DataFrame, n_buckets: int) -> DataFrame:
         rows = list(_pack(_bucket(ids, n_buckets), True, kinds, owner, labels))
         return pa.table({name: pa.array([r[k] for r in rows], t) for name, k, t in (("bucket", 0, pa.int64()), ("ids", 2, pa.binary()), ("counts", 3, pa.binary()), ("labels", 4, pa.binary()))})
 
-    return leaves.groupBy("tree").applyInArrow(subtree, "bucket long, ids binary, counts binary, labels binary")
+    return _each_tree(leaves, n, subtree, "bucket long, ids binary, counts binary, labels binary")
 
 
 def repeat_nodes(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> DataFrame:
@@ -193,7 +204,7 @@ def repeat_nodes(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int =
         deep = (np.diff(np.r_[begins, len(ids)]) > 1) | np.isin(labels[begins], known_labels) if len(ids) else np.zeros(0, bool)
         return pa.table({"label": pa.array(labels[begins][deep].view(np.int64)), "first_doc": pa.array(ids[begins][deep])})
 
-    return _leaves(docs, window, trees, n).groupBy("tree").applyInArrow(subtree, "label long, first_doc long")
+    return _each_tree(_leaves(docs, window, trees, n), n, subtree, "label long, first_doc long")
 
 
 def _by_document(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
@@ -232,7 +243,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: in
     trees, n = plan_trees(counts, suffixes_per_tree, 2 * _base.shuffle_partitions(spark))
     # A bucket's labels are held at once: as many buckets as keep that near a subtree's size.
     n_buckets = max(_base.shuffle_partitions(spark), int(counts[0].sum()) // suffixes_per_tree + 1)
-    repeats = _repeats(_leaves(docs, window, trees, n), n_buckets)
+    repeats = _repeats(_leaves(docs, window, trees, n), n, n_buckets)
     labelled = repeats.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "labels")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "counts", "labels")]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
