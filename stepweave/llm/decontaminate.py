@@ -3,8 +3,9 @@
 Fixed masks say which tokens of a window count and which are ignored. The
 hashes of all windows of the benchmark under each mask are joined with those of
 every document; around each hit the benchmark item is laid along the document
-and compared token by token, so passages with some tokens substituted are found
-wherever one mask ignores the substituted ones.
+and compared token by token. The masks are derived from the number of tokens of
+a passage and of those that may be substituted, so that wherever these are, one
+mask lies in the passage and ignores them all: no passage is without a hit.
 
 The benchmark is the query set. It goes to the tasks in blocks of a bounded
 number of tokens, one scan for each block, however large it is; documents are
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,55 @@ from pyspark.sql import functions as F
 
 from . import _base, _words
 
-#: 1: the token counts; 0: it is ignored. Eight tokens count in each.
-MASKS = ("11111111", "110110110101", "101101011011", "1110001100111", "1011100011101")
 OVERLAP = 13
 IDENTITY = 0.8
 #: Items of fewer tokens are no evidence and aren't looked for.
 LEAST_TOKENS = 5
 BLOCK_TOKENS = 200_000
 CHUNK_CHARS = 1_500_000
+#: Masks for one number of tokens; as many tokens count in each as this number allows.
+MOST_MASKS = 5
+#: Longer passages are halved, as the placements to cover grow too many.
+MOST_PLACED = 13
+
+
+def substitutions(n: int, identity: float) -> int:
+    """How many of n tokens may differ."""
+    if not 0 < identity <= 1:
+        raise ValueError(f"identity is over 0 and 1 at most, not {identity}")
+    return n - next(equal for equal in range(1, n + 1) if equal >= identity * n)
+
+
+def _cover(n: int, differ: int, weight: int) -> tuple[str, ...] | None:
+    """MOST_MASKS masks at most, of so many tokens that count, one of which fits beside any ``differ`` of n tokens; greedily."""
+    placements = [sum(1 << i for i in at) for at in combinations(range(n), differ)]
+    free: dict[str, int] = {}
+    for ones in combinations(range(n), weight):
+        if ones[0] == 0:
+            mask = sum(1 << i for i in ones)
+            shifted = [mask << k for k in range(n - ones[-1])]
+            free["".join("01"[i in ones] for i in range(ones[-1] + 1))] = sum(1 << k for k, p in enumerate(placements) if any(m & p == 0 for m in shifted))
+    left, chosen = (1 << len(placements)) - 1, []
+    while left and len(chosen) < MOST_MASKS:
+        best = max(free, key=lambda m: ((free[m] & left).bit_count(), -len(m), m))
+        left &= ~free[best]
+        chosen.append(best)
+    return None if left else tuple(chosen)
+
+
+@cache
+def masks_for(n: int, differ: int) -> tuple[str, ...]:
+    """Masks of which one at least meets only equal tokens, wherever ``differ`` of n tokens or fewer are substituted.
+
+    1: the token counts; 0: it is ignored.
+    """
+    if n > MOST_PLACED:  # one half has half of the substitutions at most
+        return masks_for(n // 2, differ // 2)
+    found = (_cover(n, differ, weight) for weight in range(n - differ, 0, -1))
+    return next((masks for masks in found if masks), ("1",))
+
+
+MASKS = masks_for(OVERLAP, substitutions(OVERLAP, IDENTITY))
 
 _alnum: dict[str, np.ndarray] = {}
 
@@ -76,30 +120,32 @@ class Seeds:
     filter: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple], masks: tuple[str, ...]) -> Seeds:
+    def of(cls, items: list[tuple], masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> Seeds:
         items = [(i, t) for i, t in items if t]
         words, first = tokens([t for _, t in items])
+        # Shorter items are looked for whole, with masks for their own length.
         length = np.diff(first)
-        spans = sorted({len(m) for m in masks})
-        # Items that no mask fits into are looked for whole.
-        short = tuple("1" * n for n in sorted(set(length.tolist())) if LEAST_TOKENS <= n < spans[0])
-        found = []
-        for mask in (*masks, *short):
+        passage = np.where(length < LEAST_TOKENS, 0, np.minimum(length, overlap))
+        wanted: dict[str, list[int]] = {}
+        for n in sorted(set(passage.tolist()) - {0}):
+            for mask in masks if masks and n == overlap else masks_for(n, substitutions(n, identity)):
+                wanted.setdefault(mask, []).append(n)
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for mask, lengths in wanted.items():
             at, item = _words.windows(first, len(mask))
-            if mask in short:
-                whole = length[item] == len(mask)
-                at, item = at[whole], item[whole]
+            chosen = np.isin(passage[item], lengths)
+            at, item = at[chosen], item[chosen]
             found.append((_seeds(words, at, mask), item, at - first[:-1][item]))
         hashes, item, offset = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(hashes, kind="stable")
         bits = min(24, max(10, int(len(hashes)).bit_length() + 6))
         has = np.zeros(1 << bits, bool)
         has[hashes >> np.uint64(64 - bits)] = True
-        return cls([i for i, _ in items], words, first, (*masks, *short), hashes[order], item[order], offset[order], bits, has)
+        return cls([i for i, _ in items], words, first, tuple(wanted), hashes[order], item[order], offset[order], bits, has)
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (document, item, where token 0 of the item falls in ``words``)."""
-        out = []
+        out = [np.zeros((0, 3), np.int64)]
         for mask in self.masks:
             at, owner = _words.windows(first, len(mask))
             seed = _seeds(words, at, mask)
@@ -129,7 +175,7 @@ class Seeds:
             yield doc, self.ids[item], equal, n
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...]) -> Iterator[Seeds]:
+def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...] | None, overlap: int = OVERLAP, identity: float = IDENTITY) -> Iterator[Seeds]:
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
     # No more tokens than half the characters, rounded up.
     size = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
@@ -137,7 +183,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...])
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k).collect()
         if block:
-            yield Seeds.of(sorted(map(tuple, block), key=lambda r: (str(r[0]), r[1])), masks)
+            yield Seeds.of(sorted(map(tuple, block), key=lambda r: (str(r[0]), r[1])), masks, overlap, identity)
 
 
 def _in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -152,21 +198,23 @@ def _in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield low, [t or "" for t in texts[low:]]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
     """doc_id, item_id, n_equal, n_compared: documents with a passage of a benchmark item.
 
     A passage is a run of ``overlap`` tokens (all of a shorter item) laid along
     the document without gaps, of which at least the share ``identity`` is
     equal; one row for each pair of rows. Null and empty texts, and items of
     fewer than five tokens, have none. Repeated documents or items give a row
-    each. Either table may be empty; other columns are ignored.
+    each. Either table may be empty; other columns are ignored. Without
+    ``masks`` (for passages of ``overlap`` tokens) they follow from overlap and
+    identity, and all passages are found; others find what they hit.
     """
     _base.require(docs, "doc_id", text)
     _base.require(benchmark, item, item_text)
     schema = docs.select("doc_id").schema.add("item_id", benchmark.schema[item].dataType).add("n_equal", "long").add("n_compared", "long")
     found = docs.sparkSession.createDataFrame([], schema)
     source = docs.select("doc_id", F.col(text).alias("text"))
-    for seeds in _blocks(benchmark, item, item_text, masks):
+    for seeds in _blocks(benchmark, item, item_text, masks, overlap, identity):
 
         def search(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             kind = pa.array(seeds.ids).type
@@ -180,12 +228,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
     """The rows of ``docs`` without any passage that ``contaminated`` finds, with all their columns; nothing is shuffled."""
     _base.require(docs, text)
     _base.require(benchmark, item, item_text)
     place = docs.columns.index(text)
-    for seeds in _blocks(benchmark, item, item_text, masks):
+    for seeds in _blocks(benchmark, item, item_text, masks, overlap, identity):
 
         def clean(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:

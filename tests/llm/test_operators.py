@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empties, very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -274,6 +275,39 @@ def test_substitutions(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, items).collect()) == [3, 5, 7, 8, 9]
 
 
+def test_every_placement_of_substitutions():
+    """For items of each length, alone and in other text: all that are allowed, and some with one more."""
+    allowed = {5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
+    items = [(n, passage(100 + n, n)) for n in allowed]
+    docs, want = [], set()
+    for n, text in items:
+        for differ in (allowed[n], allowed[n] + 1):
+            for at in list(itertools.combinations(range(n), differ))[: None if differ == allowed[n] else 20]:
+                words = " ".join("zzz" if i in at else w for i, w in enumerate(text.split()))
+                for t in (words, f"one two {words} three"):
+                    want |= {(len(docs), n)} if differ == allowed[n] else set()
+                    docs.append((len(docs), t))
+    assert decontaminate.brute_force(docs, items) == want
+    got = decontaminate.Seeds.of(items).overlaps([t for _, t in docs], decontaminate.OVERLAP, decontaminate.IDENTITY)
+    assert {(d, i) for d, i, *_ in got} == want
+
+
+@pytest.mark.parametrize("overlap,identity", [(13, 0.8), (20, 0.8), (8, 0.5), (31, 0.9), (9, 1.0), (5, 0.2)])
+def test_masks_for_other_passages(overlap, identity):
+    r = random.Random(overlap)
+    items = [(i, passage(200 + i, 45)) for i in range(4)]
+    docs = []
+    for k in range(200):
+        words = items[k % 4][1].split()
+        begin = r.randrange(45 - overlap + 1)
+        at = set(r.sample(range(overlap), decontaminate.substitutions(overlap, identity)))
+        docs.append((k, "one two " + " ".join("zzz" if i in at else w for i, w in enumerate(words[begin : begin + overlap])) + " three"))
+    want = decontaminate.brute_force(docs, items, overlap, identity)
+    assert len(want) >= 200
+    got = decontaminate.Seeds.of(items, None, overlap, identity).overlaps([t for _, t in docs], overlap, identity)
+    assert {(d, i) for d, i, *_ in got} == want
+
+
 def test_benchmark_in_blocks(spark, sf_dir, documents, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.contaminated(documents, items).collect()))
