@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base
+from .ngram_join import near_duplicates
 
 CAPACITY = 2048
 DOCS_PER_BLOCK = 4096
@@ -72,7 +73,15 @@ def _pack_rows(rows: list[dict], capacity: int) -> Iterator[tuple]:
             bins += 1
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_PER_BLOCK, text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+def _with_classes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The class of near duplicates as cluster; texts without words, and classes without an id, keep theirs."""
+    classes = near_duplicates(docs).where("n_copies > 0 and class_id is not null")
+    named = classes.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"), F.col("class_id").cast("string").alias("class")).distinct()
+    joined = items.join(named, items["doc_id"].eqNullSafe(named["its_id"]) & (items["text_key"] == named["its_key"]), "left")
+    return joined.select("doc_id", "n_tokens", "source", F.coalesce("class", "cluster").alias("cluster"), "place")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_PER_BLOCK, text: str = "text", source: str = "source", cluster: str | None = None, near_copies: bool = False) -> DataFrame:
     """Places every document in bins of ``capacity`` tokens.
 
     Tokens are words (runs of anything but ASCII white space) and one end mark
@@ -80,7 +89,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
     each piece, start being its place in the bin. A document longer than a bin
     fills bins of its own and its last piece is packed like a document. bin is
     unique over the table. ``cluster`` names a column of duplicate clusters;
-    without one, documents with equal texts make a cluster.
+    without one, documents with equal texts make a cluster, and with
+    ``near_copies`` the classes of ``ngram_join.near_duplicates`` do.
 
     Null and empty texts have the end mark only and no cluster of their own.
     Null sources and clusters conflict with nothing. Repeated rows are copies,
@@ -88,12 +98,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
     """
     _base.require(docs, "doc_id", text, source, *([cluster] if cluster else []))
     named = F.col(cluster).cast("string") if cluster else F.when(F.length(text) > 0, F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(5)))))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) + 1).cast("long").alias("n_tokens"), F.col(source).cast("string").alias("source"), named.alias("cluster"))
+    n_tokens = (F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) + 1).cast("long")
+    # The row's place in the input spreads rows that are all alike.
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.alias("n_tokens"), F.col(source).cast("string").alias("source"), named.alias("cluster"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("place"))
+    if near_copies and not cluster:
+        items = _with_classes(items, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
     spark = docs.sparkSession
     n_blocks = max(1, -(-docs.count() // docs_per_block))
-    # The row's place in the input spreads rows that are all alike.
-    block = F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(n_blocks))
-    dealt = items.withColumn("block", block).repartition(max(1, min(n_blocks, _base.shuffle_partitions(spark))), "block").sortWithinPartitions("block")
+    block = F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(n_blocks))
+    dealt = items.select("doc_id", "n_tokens", "source", "cluster", block.alias("block")).repartition(max(1, min(n_blocks, _base.shuffle_partitions(spark))), "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -126,4 +139,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, bin, start, n_tokens for every piece of every document."""
-    return pack(_base.table(spark, sf_dir, "documents"))
+    return pack(_base.table(spark, sf_dir, "documents"), near_copies=True)

@@ -168,6 +168,23 @@ def test_packing(documents, texts):
     assert total == {i: len((r["text"] or "").split()) + 1 for i, r in texts.items()}
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rows = []
+    for k in range(20):
+        words = passage(300 + k, 60).split()
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words[:-1], "edited"])), (3 * k + 2, " ".join(words))]
+    rows += [(100, None), (101, ""), (102, ""), (103, "  \n")]
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", len(t or "")) for i, t in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = packing.op3_packing(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in packed) == sorted(i for i, _ in rows)
+    check_bins(packed, {i: i for i, _ in rows}, 2048)
+    bin_of = {r["doc_id"]: r["bin"] for r in packed}
+    assert all(len({bin_of[3 * k + j] for j in range(3)}) == 3 for k in range(20))
+    # clusters of one bind nothing
+    assert len({bin_of[i] for i in (100, 101, 102, 103)}) == 1
+
+
 def test_packing_edges(edges, empty):
     rows = packing.pack(edges).collect()
     assert sum(r["doc_id"] is None for r in rows) == 2 and sum(r["doc_id"] == 4 for r in rows) == 2
