@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join of at most so many rows is broadcast; it is counted first.
+BROADCAST_ROWS = 100_000
+#: Beyond that, keys with more than this part of the other side's rows are; there can't be more such keys than parts.
+PARTS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +49,26 @@ def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}; there are {', '.join(df.columns)}")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Joins rows with ``side``, which has one row for each key and, as ``weight``, the number of rows of that key.
+
+    A small side is broadcast. Of a larger one the heavy keys are, so that no
+    task gets more than a ten-thousandth of the weight for one key. ``side``
+    should be checkpointed: it is counted and read more than once.
+    """
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), on, how)
+    total = side.agg(F.sum(weight)).first()[0]
+    heavy = F.broadcast(side.where(F.col(weight) > total / PARTS))
+    light = side.where(F.col(weight) <= total / PARTS)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on, how))

@@ -29,23 +29,29 @@ WITH base AS MATERIALIZED (
     UNION ALL {_found_sql("access", secrets.ACCESS, 0)}
     UNION ALL {_found_sql("hex", secrets.HEX, 0)})
 ), letters AS (
-  SELECT value, list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -((length(value) - length(replace(value, c, ''))) / length(value)) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS entropy
+  SELECT value, list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -((length(value) - length(replace(value, c, ''))) / length(value)) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS entropy,
+    regexp_matches(lower(value), '{secrets.ALONE}') OR 2 * length(regexp_replace(lower(value), '{"|".join(secrets.PLACEHOLDERS)}', '', 'g')) <= length(value) AS stand_in
   FROM (SELECT DISTINCT value FROM base)
 ), owners AS (
-  SELECT value, count(DISTINCT owner) AS n FROM base GROUP BY value
-), added AS (
-  SELECT DISTINCT doc_id, CASE WHEN n >= {secrets.COPIED_OWNERS} THEN 'example' ELSE 'live' END AS kind, CASE WHEN n >= {secrets.COPIED_OWNERS} THEN 4 ELSE 3 END AS rank, b - length(value) AS a, b
+  SELECT value, count(DISTINCT owner) AS n, count(DISTINCT doc_id) AS repositories FROM base GROUP BY value
+), judged AS (
+  SELECT doc_id, a, b, value, n, repositories, CASE WHEN n >= {secrets.COPIED_OWNERS} OR repositories >= {secrets.COPIED_REPOSITORIES} THEN 5
+    WHEN entropy >= {secrets.LIVE_ENTROPY} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT stand_in THEN CASE WHEN n <= 1 THEN 3 ELSE 4 END END AS rank
   FROM base JOIN owners USING (value) JOIN letters USING (value)
-  WHERE n >= {secrets.COPIED_OWNERS} OR n <= 1 AND entropy >= {secrets.LIVE_ENTROPY} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(lower(value), '{"|".join(secrets.PLACEHOLDERS)}')
+), added AS (
+  SELECT DISTINCT doc_id, CASE rank WHEN 3 THEN 'live' WHEN 4 THEN 'shared' ELSE 'example' END AS kind, rank, b - length(value) AS a, b FROM judged WHERE rank IS NOT NULL
 ), spans AS (
   SELECT doc_id, kind, rank, a, b FROM base UNION ALL SELECT doc_id, kind, rank, a, b FROM added
+), widest AS (
+  SELECT doc_id, max(repositories) AS max_repositories, max(n) AS max_owners FROM judged GROUP BY doc_id
 ), joined AS (
   SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b) FILTER (rank < 3) AS base,
     {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.KINDS)}
   FROM spans GROUP BY doc_id
 )
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM documents LEFT JOIN joined USING (doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(max_repositories, 0) AS max_repositories, coalesce(max_owners, 0) AS max_owners
+FROM documents LEFT JOIN joined USING (doc_id) LEFT JOIN widest USING (doc_id)
 """
 
 OP5_SQL = f"""

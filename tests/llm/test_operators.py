@@ -68,22 +68,53 @@ def test_secrets_patterns(spark):
 
 
 def test_secrets_ownership(spark):
-    live, copied, between = "aZ9kQ2mX7pL4vB8n", "bY8jR3nW6qK5uC7m", "cX7iS4oV5rJ6tD6l"
-    rows = [(1, f"token={live}", "a"), (2, f"token={live}", "a"), (3, f"token={copied}", "a"), (4, f"token={copied}", "b"), (5, f"token={copied}", "c"), (6, f"token={between}", "a"), (7, f"token={between}", "b"), (8, "token=exampleexample1", "a"), (9, "nothing", None)]
+    live, copied, shared, spread = "aZ9kQ2mX7pL4vB8n", "bY8jR3nW6qK5uC7m", "cX7iS4oV5rJ6tD6l", "dW6hT5pU4sI7sE5k"
+    rows = [(1, f"token={live}", "a"), (2, f"token={live}", "a"), (3, f"token={copied}", "a"), (4, f"token={copied}", "b"), (5, f"token={copied}", "c"), (6, f"token={shared}", "a"), (7, f"token={shared}", "b"), (8, "token=exampleexample1", "a"), (9, "nothing", None)]
+    # many repositories of one owner: widely copied all the same
+    rows += [(20 + k, f"token={spread}", "a") for k in range(10)] + [(40 + k, "token=qV5gS4oT3rH6wF4j", "a") for k in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in secrets.scan_secrets(df).collect()}
-    assert got == {1: [("live", 6, 22)], 2: [("live", 6, 22)], 3: [("example", 6, 22)], 4: [("example", 6, 22)], 5: [("example", 6, 22)], 6: [], 7: [], 8: [], 9: []}
-    owners = {r["n_rows"]: (r["n_repositories"], r["n_owners"]) for r in secrets.ownership(secrets.candidates(df)).where("n_rows > 1").collect()}
-    assert owners == {2: (2, 2), 3: (3, 3)} or owners[3] == (3, 3)
+    got = {r["doc_id"]: ([(s["kind"], s["start"], s["end"]) for s in r["added"]], r["max_repositories"], r["max_owners"]) for r in secrets.scan_secrets(df).collect()}
+    span = lambda kind, *n: ([(kind, 6, 22)], *n)
+    want = {1: span("live", 2, 1), 2: span("live", 2, 1), 3: span("example", 3, 3), 4: span("example", 3, 3), 5: span("example", 3, 3), 6: span("shared", 2, 2), 7: span("shared", 2, 2), 8: ([], 1, 1), 9: ([], 0, 0)}
+    assert got == want | {20 + k: span("example", 10, 1) for k in range(10)} | {40 + k: span("live", 9, 1) for k in range(9)}
+
+
+def test_secrets_stand_ins(spark):
+    values = {"your-secret-value-123": False, "exampleexample1": False, "test_aZ9kQ2mX7pL4": False, "aZ9kQ2testX7pL4vB8n": True, "aZ9kQ2mX7pL4vB8n": True, "aaaaaaaaaaaa1": False, "abcdefghijklmnop": False}
+    df = spark.createDataFrame([(i, f"token={v}", "a") for i, v in enumerate(values)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [s["kind"] for s in r["added"]] for r in secrets.scan_secrets(df).collect()}
+    assert got == {i: ["live"] * x for i, x in enumerate(values.values())}
+
+
+def test_secrets_many_in_one_text(spark):
+    text = "\n".join(f"{i:016x} é" for i in range(100_000))
+    df = docs_of(spark, [(1, text), (2, "0" * 16)])
+    rows = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    assert [(s["start"], s["end"]) for s in sorted(rows[1]["base"], key=lambda s: s["start"])] == [(19 * i, 19 * i + 16) for i in range(100_000)]
+    assert rows[1]["max_repositories"] == 2 and len(rows[2]["base"]) == 1
+
+
+def test_secrets_join_of_a_large_side(spark, documents, monkeypatch):
+    key = lambda rows: sorted((r["doc_id"], sorted((s["rank"], s["start"], s["end"]) for s in r["base"] + r["added"])) for r in rows)
+    whole = key(secrets.scan_secrets(documents).collect())
+    monkeypatch.setattr(secrets._base, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(secrets._base, "PARTS", 20)
+    assert key(secrets.scan_secrets(documents).collect()) == whole
 
 
 def test_secrets_edges(edges, empty):
     rows = secrets.scan_secrets(edges).collect()
-    # repeated rows of one doc_id and text make one row
-    assert len(rows) == len({(i, t) for i, t in EDGES})
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted((i for i, _ in EDGES), key=str)
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_repeated_rows(spark):
+    text = "token=aZ9kQ2mX7pL4vB8n"
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (1, "other", "a"), (None, text, "a"), (None, text, None), (2, None, "a")], "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], len(r["base"]), [s["kind"] for s in r["added"]]) for r in secrets.scan_secrets(df).collect()), key=str)
+    assert got == sorted([(1, 1, ["shared"]), (1, 1, ["shared"]), (1, 0, []), (None, 1, ["shared"]), (None, 1, ["shared"]), (2, 0, [])], key=str)
+
+
 # 2 language
 
 
