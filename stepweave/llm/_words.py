@@ -82,6 +82,16 @@ class Chunk:
     def hashes(self) -> np.ndarray:
         return segment_hashes(self.data, self.start, self.end)
 
+    def single_spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins and ends in that."""
+        keep = ~_SPACE[self.data]
+        keep[self.end] = True
+        data = self.data[keep]
+        start = np.cumsum(self.end - self.start + 1) - (self.end - self.start + 1)
+        end = start + self.end - self.start
+        data[end] = 32
+        return data.tobytes(), start, end
+
 
 def windows(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Start positions of all runs of n words inside one text, and the text of each."""

@@ -1,77 +1,138 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
-Suffixes start at words. Only what lies 13 words deep matters, so the tree is
-cut at that depth: the locus of a suffix at depth 13 is a 64-bit label of its
-first 13 words, and an internal node that deep is a run of equal labels among
-the sorted leaves of a subtree. Suffixes are dealt to subtrees by word prefixes
-of variable length: a first pass counts, over all rows, the suffixes below each
-one-, two- and three-word prefix cell; a cell with more suffixes than a task
-may hold is split by the next word, light cells are put together. So each
-subtree fits in memory, however frequent a word is.
-
-Labels are compared inside one subtree only, that is, with the hash of another
-prefix besides. Before the shuffle each chunk of rows keeps one leaf per label
-(that of its smallest doc_id), so a passage that a third of all rows share
-reaches its subtree once per chunk. Nothing is dropped: the other rows of such
-a label are known to repeat and are passed on as such.
+Suffixes start at words. The trees are sparse: of a window's 13 words, the five
+in a row with the smallest hash are its anchor, so equal windows have theirs at
+the same place, and only suffixes at anchors are dealt, each with the words of
+all windows that it anchors (about one suffix for five windows). They are dealt
+to subtrees by word prefixes of variable length: a first pass counts, over all
+rows, the windows below each prefix cell of one to five words; a cell with more
+windows than a task may hold is split by the next word, and below five words by
+the whole window; light cells are put together. So each subtree fits in memory,
+however frequent a word is.
+
+A subtree holds the words themselves. It numbers its distinct words in order,
+sorts its windows word by word and takes the longest common prefix of
+neighbours: runs of 13 words in common are the internal nodes of that depth, and
+what lies below one and isn't of its smallest document is a repeat. Hashes only
+choose anchors and subtrees; equality is that of words.
+
+A task sends a suffix whose words it has sent before, with a smaller doc_id, to
+no subtree: it is known to repeat. So a passage that a third of all rows share
+reaches its subtree once for each task, and the known repeats are dealt evenly.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base, _words
 
 WINDOW = 13
-SUFFIXES_PER_TREE = 4_000_000
+#: Words of an anchor, and so of the longest prefix that suffixes are dealt by.
+GRAM = 5
+WINDOWS_PER_TREE = 2_000_000
 CELLS = 1 << 13
-LEVELS = 3
-#: Rows in a chunk of this size share the leaves of equal labels.
+#: Rows in a chunk of this size are looked at together.
 CHUNK_BYTES = 4 << 20
-
-_LEAVES = "tree int, known boolean, ids binary, counts binary, labels binary"
-
-
-def _suffixes(raw: list[bytes], window: int) -> tuple[_words.Chunk, np.ndarray, np.ndarray, np.ndarray]:
-    chunk = _words.Chunk(raw)
-    words = chunk.hashes()
-    at, owner = _words.windows(chunk.first, window)
-    return chunk, words, at, owner
-
-
-def _cells(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The cell of each suffix at each level: a hash of its first one, two or three words."""
-    return [(_words.mix(_words.window_hashes(words, at, k + 1)) >> np.uint64(40)).astype(np.int64) % CELLS for k in range(LEVELS)]
+#: Repeated passages that a task remembers from chunk to chunk.
+REMEMBERED = 50_000
+
+_LEAVES = "tree int, known boolean, numbers binary, words binary"
+_RANGES = "bucket long, numbers binary"
+
+
+class Suffixes:
+    """The anchored suffixes of a chunk of texts: leaf i has the words a[i] to b[i] of one text, with n[i] windows."""
+
+    def __init__(self, raw: list[bytes], window: int):
+        self.window, self.gram = window, min(GRAM, window)
+        chunk = _words.Chunk(raw)
+        self.first, self.words = chunk.first, chunk.hashes()
+        self.joined, self.start, self.end = chunk.single_spaced()
+        at, owner = _words.windows(chunk.first, window)
+        anchor = self._anchors(at)
+        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(at) else np.zeros(0, np.int64)
+        self.anchor, self.owner, self.a = anchor[new], owner[new], at[new]
+        self.n = np.diff(np.r_[new, len(at)])
+        self.b = self.a + self.n + window - 1
+
+    def _anchors(self, at: np.ndarray) -> np.ndarray:
+        """Where the leftmost of the smallest anchors inside each window begins."""
+        places = len(self.words) - self.gram + 1
+        if not len(at):
+            return at
+        bits = np.uint64(max(1, places.bit_length()))
+        place = np.arange(places)
+        value = _words.window_hashes(self.words, place, self.gram) >> bits << bits | place.astype(np.uint64)
+        width, step = self.window - self.gram + 1, 1
+        while 2 * step <= width:
+            value = np.minimum(value[:-step], value[step:])
+            step *= 2
+        smallest = np.minimum(value[at], value[at + width - step])
+        return (smallest & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+    def cells(self) -> list[np.ndarray]:
+        """The cell of each leaf at each level: a hash of its first words."""
+        return [(_words.window_hashes(self.words, self.anchor, k + 1) >> np.uint64(40)).astype(np.int64) % CELLS for k in range(self.gram)]
+
+    def deal(self, trees: np.ndarray, n: int) -> np.ndarray:
+        """The subtree of each leaf; those below a heavy longest prefix are cut into single windows first."""
+        tree = np.full(len(self.a), -1)
+        for level, cell in enumerate(self.cells()):
+            rest = tree < 0
+            if not rest.any():
+                return tree
+            tree[rest] = trees[level][cell[rest]]
+        rest = tree < 0
+        if not rest.any():
+            return tree
+        times = np.where(rest, self.n, 1)
+        single = np.repeat(rest, times)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        tree, self.owner, self.a, self.n = (np.repeat(x, times) for x in (tree, self.owner, self.a, self.n))
+        self.a = self.a + step
+        self.n = np.where(single, 1, self.n)
+        self.b = self.a + self.n + self.window - 1
+        tree[single] = (_words.window_hashes(self.words, self.a[single], self.window) % np.uint64(n)).astype(np.int64)
+        return tree
+
+    def contexts(self) -> list[bytes]:
+        """The words of each leaf, parted by one space."""
+        joined = self.joined
+        return [joined[x:y] for x, y in zip(self.start[self.a].tolist(), self.end[self.b - 1].tolist())]
 
 
 def _prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
-    """Suffixes of all rows below each cell: LEVELS x CELLS numbers, whatever the input's size."""
+    """Windows of all rows below each cell: prefix lengths x CELLS numbers, whatever the input's size."""
+    levels = min(GRAM, window)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((LEVELS, CELLS), np.int64)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((levels, CELLS), np.int64)
         for _, raw in _words.rows_in_chunks(batches, limit=CHUNK_BYTES):
-            _, words, at, _ = _suffixes(raw, window)
-            for level, cells in enumerate(_cells(words, at)):
-                total[level] += np.bincount(cells, minlength=CELLS)
+            leaves = Suffixes(raw, window)
+            for level, cells in enumerate(leaves.cells()):
+                total[level] += np.bincount(cells, leaves.n, CELLS).astype(np.int64)
         level, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[level, cell])], names=["level", "cell", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros((LEVELS, CELLS), np.int64)
+    rows = docs.select("text").mapInArrow(add_up, "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros((levels, CELLS), np.int64)
     for r in rows:
         total[r["level"], r["cell"]] = r["n"]
     return total
 
 
 def plan_trees(counts: np.ndarray, budget: int, at_least: int) -> tuple[np.ndarray, int]:
-    """tree[level, cell], or -1 where the next word decides; the last level spreads by the whole label.
+    """tree[level, cell], or -1 where the next word decides; the last level spreads by the whole window.
 
     A cell below a split one counts as full as it is for all prefixes, an upper bound.
     """
@@ -79,93 +140,165 @@ def plan_trees(counts: np.ndarray, budget: int, at_least: int) -> tuple[np.ndarr
     budget = max(1, min(budget, -(-total // at_least)))
     trees = np.zeros(counts.shape, np.int64)
     n = 0
-    open_cells = True
-    for level in range(LEVELS):
+    for level in range(len(counts)):
         heavy = counts[level] > budget
         load = np.where(heavy, 0, counts[level])
         trees[level] = np.where(heavy, -1, n + np.cumsum(load) // budget)
         n = int(max(n, trees[level].max() + 1))
-        open_cells = bool(heavy.any())
-        if not open_cells:
+        if not heavy.any():
             break
-    if open_cells:
-        n = max(n, 1)
     return trees, max(n, 1)
 
 
-def _deal(trees: np.ndarray, n: int, cells: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    tree = trees[0][cells[0]]
-    for level in range(1, LEVELS):
-        rest = tree < 0
-        if not rest.any():
-            return tree
-        tree[rest] = trees[level][cells[level][rest]]
-    rest = tree < 0
-    tree[rest] = (labels[rest] % np.uint64(n)).astype(np.int64)
-    return tree
-
-
-def _pack(tree: np.ndarray, known: bool, ids: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> Iterator[tuple]:
-    """One row for each tree: doc ids, leaves of each, and their labels one after the other."""
-    if not len(tree):
-        return
-    order = np.lexsort((owner, tree))
-    tree, owner, labels = tree[order], owner[order], labels[order]
-    cuts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1], True])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        who, n = np.unique(owner[a:b], return_counts=True)
-        yield int(tree[a]), known, ids[who].tobytes(), n.astype(np.int32).tobytes(), labels[a:b].tobytes()
-
-
-def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int) -> DataFrame:
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, raw in _words.rows_in_chunks(batches, limit=CHUNK_BYTES):
-            named = [i for i, x in enumerate(columns["doc_id"]) if x is not None]
-            named.sort(key=columns["doc_id"].__getitem__)
-            ids = np.array([columns["doc_id"][i] for i in named], np.int64)
-            _, words, at, owner = _suffixes([raw[i] for i in named], window)
-            if not len(at):
-                continue
-            labels = _words.window_hashes(words, at, window)
-            tree = _deal(trees, n_trees, _cells(words, at), labels)
-            order = np.argsort(labels, kind="stable")
-            labels, owner, tree = labels[order], owner[order], tree[order]
-            new = np.r_[True, labels[1:] != labels[:-1]]
-            smallest = ids[owner[new]][np.cumsum(new) - 1]
-            repeat = ids[owner] > smallest
-            rows = list(_pack(tree[new], False, ids, owner[new], labels[new]))
-            if repeat.any():
-                once = repeat & np.r_[True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1])]
-                rows += _pack(tree[once], True, ids, owner[once], labels[once])
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], names=["tree", "known", "ids", "counts", "labels"])
+def _merged(ids: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of words joined where they touch, by document and place."""
+    order = np.lexsort((a, keys, ids))
+    ids, keys, a, b = ids[order], keys[order], a[order], b[order]
+    if not len(ids):
+        return ids, keys, a, b
+    # Ends don't fall behind inside one document: a running maximum over documents in order.
+    edge = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]
+    group = np.cumsum(edge) - 1
+    reach = np.maximum.accumulate(group * (1 << 40) + b)
+    new = edge | np.r_[True, group[1:] * (1 << 40) + a[1:] > reach[:-1]]
+    begins = np.flatnonzero(new)
+    return ids[begins], keys[begins], a[begins], (reach - group * (1 << 40))[np.r_[begins[1:] - 1, len(ids) - 1]]
 
-    return docs.select("doc_id", "text").mapInArrow(emit, _LEAVES)
 
+def _numbers(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c, "<i8").tobytes() for c in columns))
 
-def _each_tree(leaves: DataFrame, n: int, subtree: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """One partition, and so one task, for each subtree."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from subtree(pa.Table.from_batches(held)).to_batches()
+def _from_numbers(data: bytes) -> np.ndarray:
+    """Four columns."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8").reshape(4, -1)
 
-    return leaves.repartitionById(n, F.col("tree")).mapInArrow(run, schema)
 
+def _ranges(ids: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, documents and ranges) for each bucket of documents."""
+    ids, keys, a, b = _merged(ids, keys, a, b)
+    bucket = _bucket(ids, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, keys, a, b = bucket[order], ids[order], keys[order], a[order], b[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(ids) else np.zeros(1, np.int64)
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(bucket[x]), _numbers(ids[x:y], keys[x:y], a[x:y], b[x:y])
 
-def _open(table: pa.Table, known: bool) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.filter(pc.equal(table["known"], known))
-    join = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-    return np.repeat(join("ids", np.int64), join("counts", np.int32)), join("labels", np.uint64)
 
+def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int, share: bool = True) -> DataFrame:
+    """Rows for subtrees: ids, places and windows of leaves, and their words; and, if share, rows of known repeats."""
 
-def _nodes(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted leaves of a subtree: ids, labels, where each node begins, and the node of each leaf."""
-    order = np.lexsort((ids, labels))
-    ids, labels = ids[order], labels[order]
-    begins = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(labels) else np.zeros(0, np.int64)
-    node = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(labels)]))
-    return ids, labels, begins, node
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        remembered: dict[bytes, int] = {}
+        for number, (columns, raw) in enumerate(_words.rows_in_chunks(batches, limit=CHUNK_BYTES)):
+            named = [i for i, x in enumerate(columns["doc_id"]) if x is not None]
+            named.sort(key=columns["doc_id"].__getitem__)
+            ids = np.array([columns["doc_id"][i] for i in named], np.int64)
+            leaves = Suffixes([raw[i] for i in named], window)
+            tree = leaves.deal(trees, n_trees)
+            if not len(tree):
+                continue
+            keys = np.array([columns["text_key"][i] for i in named], np.int64)
+            who, which, texts = ids[leaves.owner], keys[leaves.owner], leaves.contexts()
+            sent = np.ones(len(tree), bool)
+            if share:
+                repeats = _sent_before(texts, who.tolist(), remembered)
+                sent[repeats[0]] = False
+                known = np.array(repeats[1], np.int64)
+            rows = []
+            order = np.argsort(tree, kind="stable")
+            order = order[sent[order]]
+            cuts = np.flatnonzero(np.r_[True, tree[order][1:] != tree[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
+            place = leaves.a - leaves.first[leaves.owner]
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = order[x:y]
+                rows.append((int(tree[part[0]]), False, _numbers(who[part], which[part], place[part], leaves.n[part]), press.compress(b"\n".join([texts[i] for i in part.tolist()]))))
+            if share and len(known):
+                rows.append((number % n_trees, True, _numbers(who[known], which[known], place[known], place[known] + leaves.n[known] + window - 1), b""))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["tree", "known", "numbers", "words"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(emit, _LEAVES)
+
+
+def _sent_before(texts: list[bytes], who: list[int], remembered: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Leaves (in ascending order of document) whose words went out with the same or a smaller document, and of these the ones with a smaller."""
+    first: dict[bytes, int] = {}
+    again, known = [], []
+    for i, (text, doc) in enumerate(zip(texts, who)):
+        seen = first.setdefault(text, doc)
+        if seen is doc and text not in remembered:
+            continue
+        before = remembered.get(text)
+        if before is not None and before < seen:
+            seen = first[text] = before
+        if seen < doc:
+            again.append(i)
+            known.append(i)
+    for i in known:
+        if len(remembered) >= REMEMBERED:
+            remembered.clear()
+        remembered[texts[i]] = first[texts[i]]
+    return again, known
+
+
+class Subtree:
+    """The windows of leaves in the order of their words, and the words that each has in common with the one before."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+        self.numbers: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+
+    def add(self, numbers: bytes, words: bytes) -> None:
+        found = zstandard.ZstdDecompressor().decompress(words).split()
+        self.numbers.append(_from_numbers(numbers))
+        self.codes.append(np.fromiter(map(self.vocabulary.__getitem__, found), np.uint32, len(found)))
+
+    def sort(self) -> None:
+        self.words = sorted(self.vocabulary)
+        rank = np.empty(len(self.words), np.uint32)
+        rank[[self.vocabulary[w] for w in self.words]] = np.arange(len(self.words), dtype=np.uint32)
+        codes = rank[np.concatenate(self.codes)]
+        self.codes.clear()
+        ids, keys, place, n = np.concatenate(self.numbers, axis=1)
+        self.numbers.clear()
+        size = n + self.window - 1
+        leaf = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
+        at = (np.cumsum(size) - size)[leaf] + step
+        ids, which, place = ids[leaf], keys[leaf], place[leaf] + step
+        bits = max(1, len(self.words).bit_length())
+        each = 64 // bits
+        packed = []
+        for k in range(0, self.window, each):
+            key = np.zeros(len(at), np.uint64)
+            for j in range(k, min(k + each, self.window)):
+                key = key << np.uint64(bits) | codes[at + j]
+            packed.append(key)
+        order = np.lexsort((ids, *reversed(packed)))
+        self.ids, self.keys, self.place, at = ids[order], which[order], place[order], at[order]
+        self.common = np.zeros(len(at), np.int64)
+        going = np.ones(max(0, len(at) - 1), bool)
+        for j in range(self.window):
+            if not going.any():
+                break
+            word = codes[at + j]
+            going &= word[1:] == word[:-1]
+            self.common[1:] += going
+        self.at, self.sequence = at, codes
+
+    def nodes(self) -> np.ndarray:
+        """Where each internal node at the depth of a window, or a leaf of its own, begins."""
+        return np.flatnonzero(self.common < self.window)
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents and ranges of the windows that also start in a smaller document."""
+        begins = self.nodes()
+        smallest = np.repeat(self.ids[begins], np.diff(np.r_[begins, len(self.ids)]))
+        later = self.ids > smallest
+        return self.ids[later], self.keys[later], self.place[later], self.place[later] + self.window
 
 
 def _bucket(doc_id: np.ndarray, n: int) -> np.ndarray:
@@ -178,52 +311,61 @@ def _bucket_column(doc_id: str, n: int) -> Column:
     return F.pmod(x.bitwiseXOR(F.shiftright(x, 17)).bitwiseXOR(F.shiftright(x, 31)), F.lit(n))
 
 
-def _repeats(leaves: DataFrame, n: int, n_buckets: int) -> DataFrame:
-    """Labels of windows that also start in a smaller doc_id, by document; a row for each subtree and bucket of documents."""
+def _repeats(leaves: DataFrame, n: int, n_buckets: int, window: int) -> DataFrame:
+    """Repeated ranges of words by bucket of documents. One partition, and so one task, for each subtree; known repeats pass through."""
 
-    def subtree(table: pa.Table) -> pa.Table:
-        ids, labels, begins, node = _nodes(*_open(table, False))
-        later = ids > ids[begins][node] if len(ids) else np.zeros(0, bool)
-        known_ids, known_labels = _open(table, True)
-        ids, labels = np.r_[ids[later], known_ids], np.r_[labels[later], known_labels]
-        kinds, owner = np.unique(ids, return_inverse=True)
-        rows = list(_pack(_bucket(ids, n_buckets), True, kinds, owner, labels))
-        return pa.table({name: pa.array([r[k] for r in rows], t) for name, k, t in (("bucket", 0, pa.int64()), ("ids", 2, pa.binary()), ("counts", 3, pa.binary()), ("labels", 4, pa.binary()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(*found: np.ndarray) -> pa.RecordBatch:
+            rows = list(_ranges(*found, n_buckets))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "numbers"])
 
-    return _each_tree(leaves, n, subtree, "bucket long, ids binary, counts binary, labels binary")
+        tree = Subtree(window)
+        for batch in batches:
+            for known, numbers, words in zip(*(batch.column(c).to_pylist() for c in ("known", "numbers", "words"))):
+                if known:
+                    yield made(*_from_numbers(numbers))
+                else:
+                    tree.add(numbers, words)
+        if tree.codes:
+            tree.sort()
+            yield made(*tree.repeats())
 
+    return leaves.repartitionById(n, F.col("tree")).mapInArrow(run, _RANGES)
 
-def repeat_nodes(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> DataFrame:
-    """The deep internal nodes: label, smallest doc_id below it, leaves counted once for each chunk of rows."""
-    _base.require(docs, "doc_id", "text")
-    trees, n = plan_trees(_prefix_counts(docs, window), suffixes_per_tree, 2 * _base.shuffle_partitions(docs.sparkSession))
 
-    def subtree(table: pa.Table) -> pa.Table:
-        ids, labels, begins, _ = _nodes(*_open(table, False))
-        known_ids, known_labels = _open(table, True)
-        deep = (np.diff(np.r_[begins, len(ids)]) > 1) | np.isin(labels[begins], known_labels) if len(ids) else np.zeros(0, bool)
-        return pa.table({"label": pa.array(labels[begins][deep].view(np.int64)), "first_doc": pa.array(ids[begins][deep])})
+def repeat_nodes(docs: DataFrame, window: int = WINDOW, windows_per_tree: int = WINDOWS_PER_TREE) -> DataFrame:
+    """The deep internal nodes: words (joined by one space), first_doc (the smallest below it) and n (windows below it).
 
-    return _each_tree(_leaves(docs, window, trees, n), n, subtree, "label long, first_doc long")
+    Rows without a doc_id or with fewer words than a window have none.
+    """
+    _base.require(docs, "doc_id", "text")
+    trees, n = plan_trees(_prefix_counts(docs, window), windows_per_tree, 2 * _base.shuffle_partitions(docs.sparkSession))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Subtree(window)
+        for batch in batches:
+            for numbers, words in zip(batch.column("numbers").to_pylist(), batch.column("words").to_pylist()):
+                tree.add(numbers, words)
+        if tree.codes:
+            tree.sort()
+            begins = tree.nodes()
+            size = np.diff(np.r_[begins, len(tree.ids)])
+            begins, size = begins[size > 1], size[size > 1]
+            text = [b" ".join([tree.words[w] for w in tree.sequence[x : x + window].tolist()]).decode() for x in tree.at[begins].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(tree.ids[begins]), pa.array(size)], names=["words", "first_doc", "n"])
 
-def _by_document(parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-    ids, labels = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(ids, kind="stable")
-    ids, labels = ids[order], labels[order]
-    cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
-    return {int(ids[a]): labels[a:b] for a, b in zip(cuts[:-1], cuts[1:])}
+    return _leaves(own, window, trees, n, share=False).repartitionById(n, F.col("tree")).mapInArrow(run, "words string, first_doc long, n long")
 
 
-def _spans(at: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Union of [a, a + window): the maximal repeats of one document, in words."""
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.diff(at) > window)
-    return list(zip(at[np.r_[0, cuts + 1]].tolist(), (at[np.r_[cuts, len(at) - 1]] + window).tolist()))
+def _by_document(parts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    ids, keys, a, b = _merged(*np.concatenate(parts, axis=1))
+    cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]), True])
+    spans = list(zip(a.tolist(), b.tolist()))
+    return {(int(ids[x]), int(keys[x])): spans[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, windows_per_tree: int = WINDOWS_PER_TREE) -> DataFrame:
     """Removes each word that lies in a run of ``window`` words which also starts in a document of smaller doc_id.
 
     Needs doc_id (long) and text; other columns of any name are ignored. Returns
@@ -234,47 +376,49 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, suffixes_per_tree: in
     feed and return. Runs are judged on the input. Null or empty text: no words,
     kept is empty. Null doc_id: smaller than none and later than none, so the
     row keeps all words and makes no other lose any. Rows that repeat a doc_id
-    take the same decisions and never make each other lose words. An empty
-    table gives an empty result.
+    and differ in text each lose their own places' words, and never make each
+    other lose any. An empty table gives an empty result.
     """
     _base.require(docs, "doc_id", "text")
     spark = docs.sparkSession
     counts = _prefix_counts(docs, window)
-    trees, n = plan_trees(counts, suffixes_per_tree, 2 * _base.shuffle_partitions(spark))
-    # A bucket's labels are held at once: as many buckets as keep that near a subtree's size.
-    n_buckets = max(_base.shuffle_partitions(spark), int(counts[0].sum()) // suffixes_per_tree + 1)
-    repeats = _repeats(_leaves(docs, window, trees, n), n, n_buckets)
-    labelled = repeats.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "labels")
-    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "counts", "labels")]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = own.select(F.coalesce(_bucket_column("doc_id", n_buckets), F.pmod(F.xxhash64("text"), F.lit(n_buckets))).alias("bucket"), "doc_id", "text", *nothing)
-    both = labelled.unionByName(texts).withColumn("is_text", F.col("labels").isNull())
-    # A bucket's labels come before its texts.
+    trees, n = plan_trees(counts, windows_per_tree, 2 * _base.shuffle_partitions(spark))
+    # A bucket's ranges are held at once: as many buckets as keep that near a subtree's size.
+    n_buckets = max(_base.shuffle_partitions(spark), int(counts[0].sum()) // windows_per_tree + 1)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    # Texts tell rows of one doc_id apart; where no doc_id has two, there is nothing to carry.
+    if own.where("doc_id is not null").groupBy("doc_id").agg((F.min("text_key") == F.max("text_key")).alias("one")).where("not one").isEmpty():
+        own = own.withColumn("text_key", F.lit(0).cast("long"))
+    repeats = _repeats(_leaves(own, window, trees, n), n, n_buckets, window)
+    ranges = repeats.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"), F.lit(None).cast("string").alias("text"), "numbers")
+    texts = own.select(F.coalesce(_bucket_column("doc_id", n_buckets), F.pmod(F.xxhash64("text"), F.lit(n_buckets))).alias("bucket"), "doc_id", "text_key", "text", F.lit(None).cast("binary").alias("numbers"))
+    both = ranges.unionByName(texts).withColumn("is_text", F.col("numbers").isNull())
+    # A bucket's ranges come before its texts.
     dealt = both.repartitionById(n_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "is_text").drop("is_text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, repeated, has = None, [], {}, False
-        for batch in batches:
+        current, parts, repeated = None, [], {}
+        for columns, raw in _words.rows_in_chunks(batches, limit=CHUNK_BYTES):
+            chunk = _words.Chunk(raw)
+            joined, start, end = chunk.single_spaced()
+            first = chunk.first.tolist()
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids", "counts", "labels")]
-            for bucket, doc_id, text, ids, counts, labels in zip(*columns[:2], batch.column("text").cast(pa.binary()).to_pylist(), *columns[2:]):
+            for k, (bucket, doc_id, key, numbers) in enumerate(zip(*(columns[c] for c in ("bucket", "doc_id", "text_key", "numbers")))):
                 if bucket != current:
-                    current, parts, repeated, has = bucket, [], {}, False
-                if labels is not None:
-                    parts.append((np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(labels, np.uint64)))
+                    current, parts, repeated = bucket, [], {}
+                if numbers is not None:
+                    parts.append(_from_numbers(numbers))
                     continue
-                if parts and not has:
-                    repeated, has = _by_document(parts), True
-                    parts = []
-                chunk, words, at, _ = _suffixes([text or b""], window)
-                removed = []
-                if doc_id in repeated:
-                    removed = _spans(at[np.isin(_words.window_hashes(words, at, window), repeated[doc_id])], window)
-                keep = np.ones(len(words), bool)
-                for a, b in removed:
-                    keep[a:b] = False
-                kept = b" ".join([text[s - 1 : e - 1] for s, e in zip(chunk.start[keep].tolist(), chunk.end[keep].tolist())])
-                out.append((doc_id, len(words), int(len(words) - keep.sum()), [{"start": a, "end": b} for a, b in removed], kept.decode()))
+                if parts:
+                    repeated, parts = _by_document(parts), []
+                a, b = first[k], first[k + 1]
+                removed = repeated.get((doc_id, key), ())
+                pieces, at = [], a
+                for x, y in (*removed, (b - a, b - a)):
+                    if a + x > at:
+                        pieces.append(joined[start[at] : end[a + x - 1]])
+                    at = a + y
+                out.append((doc_id, b - a, sum(y - x for x, y in removed), [{"start": x, "end": y} for x, y in removed], b" ".join(pieces).decode()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     return dealt.mapInArrow(apply, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from stepweave.llm import decontaminate, language_id, line_dedup, media, ngram_join, packing, secrets, sharding, substring_dedup, token_files
@@ -251,16 +252,16 @@ def test_shards_edges(edges, empty):
 # 5 substrings
 
 
-def test_substrings_brute_force(documents):
+@pytest.mark.parametrize("budget", [substring_dedup.WINDOWS_PER_TREE, 300])
+def test_substrings_brute_force(documents, budget):
+    """A small budget makes prefixes longer, down to whole windows, and trees many."""
     want = substring_dedup.brute_force([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
-    # a small budget makes prefixes longer and trees many
-    for budget in (substring_dedup.SUFFIXES_PER_TREE, 300):
-        rows = substring_dedup.substring_dedup(documents, suffixes_per_tree=budget).collect()
-        assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in rows} == want
+    rows = substring_dedup.substring_dedup(documents, windows_per_tree=budget).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in rows} == want
 
 
 def test_prefixes_of_variable_length():
-    counts = np.zeros((substring_dedup.LEVELS, substring_dedup.CELLS), np.int64)
+    counts = np.zeros((substring_dedup.GRAM, substring_dedup.CELLS), np.int64)
     counts[0, :4] = 10, 1000, 20, 30
     counts[1, :3] = 90, 800, 60
     counts[2, :2] = 500, 40
@@ -269,6 +270,91 @@ def test_prefixes_of_variable_length():
     assert trees[0, 0] == trees[0, 2] and trees[2, 1] >= 0 and n > trees.max() - 1
 
 
+def subtree_rows(rows, window, trees, n):
+    """What one process makes of the leaves of all rows."""
+    leaves = substring_dedup.Suffixes([t.encode() for _, t in rows], window)
+    ids = np.array([i for i, _ in rows])
+    tree = leaves.deal(trees, n)
+    held = {}
+    for k in range(n):
+        mine = np.flatnonzero(tree == k)
+        if len(mine):
+            held[k] = substring_dedup.Subtree(window)
+            place = leaves.a - leaves.first[leaves.owner]
+            held[k].add(substring_dedup._numbers(ids[leaves.owner][mine], np.zeros(len(mine)), place[mine], leaves.n[mine]), zstandard.compress(b"\n".join(leaves.contexts()[i] for i in mine)))
+            held[k].sort()
+    return held
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_subtrees_compare_words_and_not_hashes(monkeypatch, weak):
+    """With hashes of two values everything collides, and the repeats stay those of equal words."""
+    if weak:
+        monkeypatch.setattr(substring_dedup._words, "mix", lambda x: x.astype(np.uint64) % np.uint64(2) << np.uint64(63))
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(60)))) for i in range(40)] + [(i, passage(i % 7, 30)) for i in range(40, 60)] + [(70, "a " * 50), (71, "a " * 90)]
+    want = {}
+    first = {}
+    for i, t in rows:
+        for k in range(len(t.split()) - 5):
+            w = tuple(t.split()[k : k + 6])
+            if first.setdefault(w, i) < i:
+                want.setdefault(i, set()).add(k)
+    for budget in (10_000, 20):
+        counts = np.zeros((5, substring_dedup.CELLS), np.int64)
+        leaves = substring_dedup.Suffixes([t.encode() for _, t in rows], 6)
+        for level, cells in enumerate(leaves.cells()):
+            counts[level] += np.bincount(cells, leaves.n, substring_dedup.CELLS).astype(np.int64)
+        got = {}
+        for tree in subtree_rows(rows, 6, *substring_dedup.plan_trees(counts, budget, 1)).values():
+            suffixes = [[tree.words[x] for x in tree.sequence[a : a + 6]] for a in tree.at.tolist()]
+            assert suffixes == sorted(suffixes)
+            for x, y, n in zip(suffixes, suffixes[1:], tree.common[1:].tolist()):
+                assert x[:n] == y[:n] and x[n : n + 1] != y[n : n + 1] or n == 6
+            for i, _, a, b in zip(*(x.tolist() for x in tree.repeats())):
+                assert b == a + 6 and a not in got.get(i, ())
+                got.setdefault(i, set()).add(a)
+        assert got == want
+
+
+def test_substrings_with_weak_hashes(spark, monkeypatch, tmp_path):
+    """The whole operator, on executors whose hashes collide."""
+    rows = [(i, passage(i % 5, 20) + " " + passage(i, 30)) for i in range(30)]
+
+    def spoiled(df, f, schema):
+        def run(batches):
+            import numpy as np
+
+            from stepweave.llm import _words
+
+            whole = _words.mix
+            _words.mix = lambda x: x.astype(np.uint64) % np.uint64(2) << np.uint64(63)
+            try:
+                yield from f(batches)
+            finally:  # the process serves other tests too
+                _words.mix = whole
+
+        return plain(df, run, schema)
+
+    plain = type(docs_of(spark, rows)).mapInArrow
+    monkeypatch.setattr(type(docs_of(spark, rows)), "mapInArrow", spoiled)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.substring_dedup(docs_of(spark, rows)).collect()}
+    assert got == substring_dedup.brute_force(rows)
+
+
+def test_known_repeats_stay_out_of_subtrees(spark):
+    """A passage in every row goes to its subtree once for each task, at any number of rows."""
+    most = []
+    for n in (300, 1200):
+        df = spark.createDataFrame([(i, 0, f"{passage(i, 3)} {passage(999, 60)}") for i in range(n)], "doc_id long, text_key long, text string").coalesce(1)
+        trees, count = substring_dedup.plan_trees(substring_dedup._prefix_counts(df, 13), 100, 1)
+        sent = [r for r in substring_dedup._leaves(df, 13, trees, count).collect() if not r["known"]]
+        shared = passage(999, 60).split()
+        inner = " ".join(shared[20:40])
+        most.append(sum(zstandard.decompress(bytes(r["words"])).decode().count(inner[:60]) for r in sent))
+    assert most[0] == most[1]
+
+
 def test_substrings_edges(edges, empty):
     rows = substring_dedup.substring_dedup(edges).collect()
     assert len(rows) == len(EDGES)
@@ -281,9 +367,18 @@ def test_substrings_edges(edges, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substrings_of_one_doc_id(spark):
+    """Rows of one doc_id keep apart, and never make each other lose words."""
+    one, two = passage(1, 20), passage(2, 20)
+    rows = [(1, one), (2, f"x y {one}"), (2, f"{one} {two}"), (2, two), (3, two)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs_of(spark, rows)).collect())
+    assert got == sorted([(1, 20, 0, one), (2, 22, 20, "x y"), (2, 40, 20, two), (2, 20, 0, two), (3, 20, 20, "")])
+
+
 def test_maximal_repeats(spark):
     df = docs_of(spark, [(1, passage(1, 20)), (2, "x " + passage(1, 20)), (3, passage(5, 20))])
-    assert substring_dedup.repeat_nodes(df).count() == 20 - 12
+    nodes = {(r["words"], r["first_doc"], r["n"]) for r in substring_dedup.repeat_nodes(df).collect()}
+    assert nodes == {(" ".join(passage(1, 20).split()[k : k + 13]), 1, 2) for k in range(8)}
     spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in substring_dedup.substring_dedup(df).collect()}
     assert spans == {1: [], 2: [(1, 21)], 3: []}
 
