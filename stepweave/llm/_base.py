@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def without_constraints(spark: SparkSession) -> Iterator[None]:
+    """For loops over checkpoints: these keep what the optimizer has inferred, which would grow from round to round."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows as written to the shared folder: the lineage ends there and every later read sees the same rows."""
     shared_folder(df.sparkSession)

@@ -1,21 +1,22 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks say which tokens of a window count and which are ignored. The
-hashes of all windows of the benchmark under each mask are joined with those of
-every document; around each hit the benchmark item is laid along the document
-and compared token by token. The masks are derived from the number of tokens of
-a passage and of those that may be substituted, so that wherever these are, one
-mask lies in the passage and ignores them all: no passage is without a hit.
-
-The benchmark is the query set. It goes to the tasks in blocks of a bounded
-number of tokens, one scan for each block, however large it is; documents are
-never shuffled.
+hashes of all windows of the benchmark under each mask are a table of seeds,
+and so are those of every document; the two are joined on the hash. Every seed
+brings the tokens around it, as many as a passage through it can have, so a hit
+is verified where it is found, token by token. The masks are derived from the
+number of tokens of a passage and of those that may be substituted, so that
+wherever these are, one mask lies in the passage and ignores them all: no
+passage is without a hit.
+
+A Bloom filter of the benchmark's hashes, of bounded size, goes to the tasks
+and keeps the documents' other seeds out of the join. Only what can hit is
+shuffled, never a text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
@@ -28,9 +29,12 @@ from . import _base, _words
 
 OVERLAP = 13
 IDENTITY = 0.8
-#: Items of fewer tokens are no evidence and aren't looked for.
-LEAST_TOKENS = 5
-BLOCK_TOKENS = 200_000
+#: Seeds of the benchmark that are broadcast at most (some 250 bytes each); more are shuffled.
+BROADCAST_SEEDS = 200_000
+#: Parts of each hash's rows in that shuffle.
+SALTS = 16
+#: The Bloom filter has 2 to the power of this many bits at most.
+MOST_BITS = 27
 CHUNK_CHARS = 1_500_000
 #: Masks for one number of tokens; as many tokens count in each as this number allows.
 MOST_MASKS = 5
@@ -102,88 +106,75 @@ def _seeds(words: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
         if bit == "1":
             value = (value ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-    return value
-
-
-@dataclass(frozen=True)
-class Seeds:
-    """The windows of one block of benchmark items, by hash."""
-
-    ids: list
-    words: np.ndarray
-    first: np.ndarray
-    masks: tuple[str, ...]
-    hashes: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    bits: int
-    filter: np.ndarray
-
-    @classmethod
-    def of(cls, items: list[tuple], masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> Seeds:
-        items = [(i, t) for i, t in items if t]
-        words, first = tokens([t for _, t in items])
-        # Shorter items are looked for whole, with masks for their own length.
-        length = np.diff(first)
-        passage = np.where(length < LEAST_TOKENS, 0, np.minimum(length, overlap))
-        wanted: dict[str, list[int]] = {}
-        for n in sorted(set(passage.tolist()) - {0}):
-            for mask in masks if masks and n == overlap else masks_for(n, substitutions(n, identity)):
-                wanted.setdefault(mask, []).append(n)
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for mask, lengths in wanted.items():
-            at, item = _words.windows(first, len(mask))
-            chosen = np.isin(passage[item], lengths)
-            at, item = at[chosen], item[chosen]
-            found.append((_seeds(words, at, mask), item, at - first[:-1][item]))
-        hashes, item, offset = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(hashes, kind="stable")
-        bits = min(24, max(10, int(len(hashes)).bit_length() + 6))
-        has = np.zeros(1 << bits, bool)
-        has[hashes >> np.uint64(64 - bits)] = True
-        return cls([i for i, _ in items], words, first, tuple(wanted), hashes[order], item[order], offset[order], bits, has)
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (document, item, where token 0 of the item falls in ``words``)."""
-        out = [np.zeros((0, 3), np.int64)]
-        for mask in self.masks:
-            at, owner = _words.windows(first, len(mask))
-            seed = _seeds(words, at, mask)
-            maybe = np.flatnonzero(self.filter[seed >> np.uint64(64 - self.bits)])
-            low = np.searchsorted(self.hashes, seed[maybe], "left")
-            n = np.searchsorted(self.hashes, seed[maybe], "right") - low
-            hit = np.repeat(maybe, n)
-            entry = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            out.append(np.stack([owner[hit], self.item[entry], at[hit] - self.offset[entry]], axis=1))
-        return tuple(np.unique(np.concatenate(out), axis=0).T)
-
-    def overlaps(self, texts: list[str], overlap: int, identity: float) -> Iterator[tuple[int, object, int, int]]:
-        """(text, item id, equal tokens, tokens compared) for each verified overlap, the best of each text and item."""
-        words, first = tokens(texts)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for doc, item, zero in zip(*(x.tolist() for x in self.hits(words, first))):
-            begin, end = int(self.first[item]), int(self.first[item + 1])
-            low, high = max(0, int(first[doc]) - zero), min(end - begin, int(first[doc + 1]) - zero)
-            equal = words[zero + low : zero + high] == self.words[begin + low : begin + high]
-            window = min(overlap, end - begin)
-            if high - low < window:
-                continue
-            run = np.r_[0, np.cumsum(equal)]
-            if (run[window:] - run[:-window]).max() >= identity * window:
-                best[doc, item] = max(best.get((doc, item), (0, 0)), (int(run[-1]), high - low))
-        for (doc, item), (equal, n) in best.items():
-            yield doc, self.ids[item], equal, n
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...] | None, overlap: int = OVERLAP, identity: float = IDENTITY) -> Iterator[Seeds]:
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    # No more tokens than half the characters, rounded up.
-    size = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    n = int(size // BLOCK_TOKENS) + 1
-    for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k).collect()
-        if block:
-            yield Seeds.of(sorted(map(tuple, block), key=lambda r: (str(r[0]), r[1])), masks, overlap, identity)
+    return _words.mix(value)
+
+
+def _around(words: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray, reach: int, outside: int) -> np.ndarray:
+    """Seeds x (2 * reach + 1) tokens, the seed's first in the middle; ``outside`` stands for what isn't in the text."""
+    place = at[:, None] + np.arange(-reach, reach + 1)
+    inside = (place >= first[owner][:, None]) & (place < first[owner + 1][:, None])
+    found = words[np.clip(place, 0, max(0, len(words) - 1))] if len(words) else np.zeros(place.shape, np.uint64)
+    # Tokens have a bit that what is outside hasn't.
+    return np.where(inside, found | np.uint64(2), np.uint64(outside))
+
+
+_OUTSIDE = {"item": 0, "document": 1}
+
+
+def wanted_masks(lengths: set[int], overlap: int, identity: float, masks: tuple[str, ...] | None) -> dict[str, list[int]]:
+    """The masks for passages of these lengths, and the lengths that each is for."""
+    wanted: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        for mask in masks if masks and n == overlap else masks_for(n, substitutions(n, identity)):
+            wanted.setdefault(mask, []).append(n)
+    return wanted
+
+
+def item_seeds(texts: list[str], overlap: int, identity: float, masks: tuple[str, ...] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, item, tokens of a passage and tokens around, for all seeds; items shorter than a passage are looked for whole, with masks for their own length."""
+    words, first = tokens(texts)
+    passage = np.minimum(np.diff(first), overlap)
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2 * overlap - 1), np.uint64))]
+    for mask, lengths in wanted_masks(set(passage.tolist()) - {0}, overlap, identity, masks).items():
+        at, item = _words.windows(first, len(mask))
+        chosen = np.isin(passage[item], lengths)
+        at, item = at[chosen], item[chosen]
+        found.append((_seeds(words, at, mask), item, passage[item], _around(words, first, at, item, overlap - 1, _OUTSIDE["item"])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def document_seeds(texts: list[str], overlap: int, masks: tuple[str, ...], filter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text and tokens around, for the seeds that the filter lets through."""
+    words, first = tokens(texts)
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2 * overlap - 1), np.uint64))]
+    for mask in masks:
+        at, owner = _words.windows(first, len(mask))
+        seed = _seeds(words, at, mask)
+        maybe = passes(filter, seed)
+        at, owner = at[maybe], owner[maybe]
+        found.append((seed[maybe], owner, _around(words, first, at, owner, overlap - 1, _OUTSIDE["document"])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def passes(filter: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both of their bits set."""
+    bits = (len(filter) * 64).bit_length() - 1
+    has = lambda slot: filter[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) != 0
+    maybe = np.flatnonzero(has(hashes >> np.uint64(64 - bits)))
+    return maybe[has(hashes[maybe] & np.uint64((1 << bits) - 1))]
+
+
+def verify(item: np.ndarray, document: np.ndarray, passage: np.ndarray, identity: float) -> np.ndarray:
+    """The most equal tokens of a passage through each hit, 0 where that is too few or none fits."""
+    equal = (item == document).cumsum(axis=1, dtype=np.int32)
+    fits = ((item != _OUTSIDE["item"]) & (document != _OUTSIDE["document"])).cumsum(axis=1, dtype=np.int32)
+    best = np.zeros(len(item), np.int64)
+    for n in np.unique(passage).tolist():
+        own = np.flatnonzero(passage == n)
+        runs = lambda total: np.c_[total[own, n - 1], total[own, n:] - total[own, :-n]]
+        most = np.where(runs(fits) == n, runs(equal), 0).max(axis=1)
+        best[own] = np.where(most >= identity * n, most, 0)
+    return best
 
 
 def _in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -198,53 +189,110 @@ def _in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield low, [t or "" for t in texts[low:]]
 
 
+def _tokens_column(around: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in around.astype("<u8")], pa.binary())
+
+
+def _benchmark_seeds(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...] | None, overlap: int, identity: float) -> DataFrame:
+    rows = benchmark.select(F.col(item).alias("item_id"), F.monotonically_increasing_id().alias("item"), F.col(text).alias("text")).where("text is not null")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, texts in _in_chunks(batch.column(2).to_pylist()):
+                seed, owner, passage, around = item_seeds(texts, overlap, identity, masks)
+                at = pa.array(owner + low)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(passage), _tokens_column(around)], names=["seed", "item_id", "item", "passage", "item_tokens"])
+
+    schema = rows.select(F.lit(0).cast("long").alias("seed"), "item_id", "item").schema.add("passage", "long").add("item_tokens", "binary")
+    return _base.checkpoint(rows.mapInArrow(make, schema))
+
+
+def _bloom(seeds: DataFrame, n: int) -> np.ndarray:
+    """A bit at the upper and one at the lower end of each hash; of a size that MOST_BITS bounds."""
+    bits = min(MOST_BITS, max(16, n.bit_length() + 5))
+    slots = seeds.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1)))).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << bits - 6, np.uint64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"] & (1 << 64) - 1
+    return out
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, masks: tuple[str, ...] | None, overlap: int, identity: float) -> DataFrame | None:
+    """place (of the row), doc_id, h1, h2 (of the text), item (the row), item_id, passage, equal: verified hits; None if the benchmark has no seeds."""
+    seeds = _benchmark_seeds(benchmark, item, item_text, masks, overlap, identity)
+    n = seeds.count()
+    if not n:
+        return None
+    lengths = {r[0] for r in seeds.select("passage").distinct().collect()}
+    chosen, filter = tuple(wanted_masks(lengths, overlap, identity, masks)), _bloom(seeds, n)
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.monotonically_increasing_id().alias("place"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text).alias("h2"), F.col(text).alias("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, texts in _in_chunks(batch.column(4).to_pylist()):
+                seed, owner, around = document_seeds(texts, overlap, chosen, filter)
+                at = pa.array(owner + low)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), *(batch.column(i).take(at) for i in range(4)), _tokens_column(around)], names=["seed", "doc_id", "place", "h1", "h2", "tokens"])
+
+    schema = rows.select(F.lit(0).cast("long").alias("seed"), "doc_id", "place", "h1", "h2").schema.add("tokens", "binary")
+    there = rows.mapInArrow(make, schema)
+    if n <= BROADCAST_SEEDS:
+        met = there.join(F.broadcast(seeds), "seed")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = there.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"]).drop("salt")
+    columns = ["place", "doc_id", "h1", "h2", "item", "item_id", "passage"]
+    width = 2 * overlap - 1
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, width)
+            equal = verify(matrix("item_tokens"), matrix("tokens"), batch.column("passage").to_numpy(zero_copy_only=False), identity)
+            good = pa.array(np.flatnonzero(equal))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(good) for c in columns), pa.array(equal[equal > 0])], names=[*columns, "equal"])
+
+    return met.select(*columns, "item_tokens", "tokens").mapInArrow(check, met.select(*columns).schema.add("equal", "long"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
     """doc_id, item_id, n_equal, n_compared: documents with a passage of a benchmark item.
 
-    A passage is a run of ``overlap`` tokens (all of a shorter item) laid along
-    the document without gaps, of which at least the share ``identity`` is
-    equal; one row for each pair of rows. Null and empty texts, and items of
-    fewer than five tokens, have none. Repeated documents or items give a row
-    each. Either table may be empty; other columns are ignored. Without
-    ``masks`` (for passages of ``overlap`` tokens) they follow from overlap and
-    identity, and all passages are found; others find what they hit.
+    A passage is a run of ``overlap`` tokens (all of a shorter item, down to one
+    token) laid along the document without gaps, of which at least the share
+    ``identity`` is equal; n_equal and n_compared are of the best. One row for
+    each pair of rows. Null and empty texts, and texts without letters or
+    digits, have none. Repeated documents or items give a row each. Either table
+    may be empty; other columns are ignored. Without ``masks`` (for passages of
+    ``overlap`` tokens) they follow from overlap and identity, and all passages
+    are found; others find what they hit.
     """
     _base.require(docs, "doc_id", text)
     _base.require(benchmark, item, item_text)
-    schema = docs.select("doc_id").schema.add("item_id", benchmark.schema[item].dataType).add("n_equal", "long").add("n_compared", "long")
-    found = docs.sparkSession.createDataFrame([], schema)
-    source = docs.select("doc_id", F.col(text).alias("text"))
-    for seeds in _blocks(benchmark, item, item_text, masks, overlap, identity):
-
-        def search(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            kind = pa.array(seeds.ids).type
-            for batch in batches:
-                out, ids = [], batch.column(0)
-                for low, texts in _in_chunks(batch.column(1).to_pylist()):
-                    out += [(low + d, *rest) for d, *rest in seeds.overlaps(texts, overlap, identity)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], kind), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())], names=["doc_id", "item_id", "n_equal", "n_compared"])
-
-        found = found.unionByName(source.mapInArrow(search, schema))
-    return found
+    hits = _hits(docs, benchmark, text, item, item_text, masks, overlap, identity)
+    if hits is None:
+        schema = docs.select("doc_id").schema.add("item_id", benchmark.schema[item].dataType).add("n_equal", "long").add("n_compared", "long")
+        return docs.sparkSession.createDataFrame([], schema)
+    best = hits.groupBy("place", "doc_id", "item", "item_id").agg(F.max("equal").alias("n_equal"), F.max("passage").alias("n_compared"))
+    return best.select("doc_id", "item_id", "n_equal", "n_compared")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:
-    """The rows of ``docs`` without any passage that ``contaminated`` finds, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` without any passage that ``contaminated`` finds, with all their columns.
+
+    Rows of a text go or stay together. Null and empty texts stay.
+    """
     _base.require(docs, text)
     _base.require(benchmark, item, item_text)
-    place = docs.columns.index(text)
-    for seeds in _blocks(benchmark, item, item_text, masks, overlap, identity):
-
-        def clean(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for low, texts in _in_chunks(batch.column(place).to_pylist()):
-                    for d, *_ in seeds.overlaps(texts, overlap, identity):
-                        keep[low + d] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    hits = _hits(docs, benchmark, text, item, item_text, masks, overlap, identity)
+    if hits is None:
+        return docs
+    h1, h2 = _base.fresh(docs, "h1"), _base.fresh(docs, "h2")
+    gone = _base.checkpoint(hits.select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct())
+    if gone.limit(_base.BROADCAST_ROWS + 1).count() <= _base.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, (F.xxhash64(docs[text]) == gone[h1]) & (F.xxhash64(F.lit(17), docs[text]) == gone[h2]), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +300,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "benchmark"))
 
 
+def overlaps(items: list[tuple], texts: list[str], overlap: int = OVERLAP, identity: float = IDENTITY) -> set[tuple]:
+    """(text, item id) by the same seeds and verification, in one process; for tests."""
+    seed, owner, passage, around = item_seeds([t for _, t in items], overlap, identity, None)
+    filter = np.full(1 << 10, (1 << 64) - 1, np.uint64)
+    there, doc, tokens_there = document_seeds(texts, overlap, tuple(wanted_masks(set(passage.tolist()), overlap, identity, None)), filter)
+    order = np.argsort(seed, kind="stable")
+    low, high = np.searchsorted(seed[order], there, "left"), np.searchsorted(seed[order], there, "right")
+    hit = np.repeat(np.arange(len(there)), high - low)
+    entry = order[np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+    good = verify(around[entry], tokens_there[hit], passage[entry], identity) > 0
+    return {(d, items[i][0]) for d, i in zip(doc[hit[good]].tolist(), owner[entry[good]].tolist())}
+
+
 def brute_force(docs: list[tuple], items: list[tuple], overlap: int = OVERLAP, identity: float = IDENTITY) -> set[tuple]:
     """(doc_id, item_id) by comparing every alignment of every pair; for tests."""
     import regex
@@ -261,7 +322,7 @@ def brute_force(docs: list[tuple], items: list[tuple], overlap: int = OVERLAP, i
     for i, q in items:
         a = split(q)
         window = min(overlap, len(a))
-        if len(a) < LEAST_TOKENS:
+        if not a:
             continue
         for d, t in docs:
             b = split(t)

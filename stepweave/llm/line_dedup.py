@@ -32,9 +32,9 @@ def _split(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """A row for each line that isn't blank."""
+    """A row for each line that isn't blank; two hashes of it with seeds of their own are its key of 128 bits."""
     keyed = docs.select(F.col("doc_id"), F.col(site).alias("site"), F.xxhash64(text).alias("text_key"), F.posexplode(_split(F.col(text))).alias("place", "line"))
-    return keyed.where(F.length(F.trim("line")) > 0).select("doc_id", "site", "text_key", "place", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2"))
+    return keyed.where(F.length(F.trim("line")) > 0).select("doc_id", "site", "text_key", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"))
 
 
 def _place() -> Column:
@@ -42,15 +42,15 @@ def _place() -> Column:
 
 
 def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = SKETCH_LG_K) -> DataFrame:
-    """Hashes of the lines on at least min_sites distinct non-null sites, with the place where each stands first."""
+    """Hashes of the lines on at least min_sites distinct non-null sites, with the place where each stands first and the number of its rows."""
     lines = _lines(docs, text, site)
     low, high = near_threshold(min_sites, lg_k)
-    sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.col("site").cast("string"), lg_k).alias("sketch"), F.count("site").alias("n"), F.min(_place()).alias("first"))
-    guessed = _base.checkpoint(sketches.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
-    sure = guessed.where(F.col("sites") > high).select("h1", "h2", "first")
-    near = guessed.where(F.col("sites") <= high)
-    counted = lines.where("site is not null").join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
-    return sure.unionByName(near.join(counted.where(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first"))
+    sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg(F.col("site").cast("string"), lg_k).alias("sketch"), F.count("site").alias("n"), F.count("*").alias("n_rows"), F.min(_place()).alias("first"))
+    guessed = _base.checkpoint(sketches.where(F.col("n") >= min_sites).select("h1", "h2", "first", "n_rows", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
+    sure = guessed.where(F.col("sites") > high).drop("sites")
+    near = guessed.where(F.col("sites") <= high).drop("sites")
+    counted = _base.spread_join(lines.where("site is not null"), near.select("h1", "h2", "n_rows"), ["h1", "h2"], "n_rows").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    return sure.unionByName(near.join(counted.where(F.col("exact") >= min_sites), ["h1", "h2"]).drop("exact"))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lg_k: int = SKETCH_LG_K) -> DataFrame:
@@ -65,16 +65,17 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_si
     gives an empty result.
     """
     _base.require(docs, "doc_id", text, site)
-    spread = spread_lines(docs, text, site, min_sites, lg_k)
-    gone = _lines(docs, text, site).join(spread, ["h1", "h2"]).where(_place() != F.col("first"))
-    of = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("place").alias("__gone"))
+    spread = _base.checkpoint(spread_lines(docs, text, site, min_sites, lg_k))
+    removed = _base.spread_join(_lines(docs, text, site), spread, ["h1", "h2"], "n_rows").where(_place() != F.col("first"))
     own = docs.drop("n_lines", "n_removed")
-    joined = own.join(of, own["doc_id"].eqNullSafe(of["__id"]) & (F.xxhash64(own[text]) == of["__key"]), "left").drop("__id", "__key")
+    its_id, its_key, gone = (_base.fresh(own, x) for x in ("its_id", "its_key", "gone"))
+    of = removed.groupBy(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key)).agg(F.collect_set("place").alias(gone))
+    joined = own.join(of, own["doc_id"].eqNullSafe(of[its_id]) & (F.xxhash64(own[text]) == of[its_key]), "left").drop(its_id, its_key)
     lines = _split(F.col(text))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__gone")
+    out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")})
+    return out.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)).drop(gone)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

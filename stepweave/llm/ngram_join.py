@@ -2,12 +2,16 @@
 
 Documents with equal n-gram sets form one class and go on as one row. Band and
 row counts follow from the target recall at the threshold; classes meet where a
-band's hash is equal. The components of that meeting graph are the units of
-verification: a unit's full n-gram sets lie in one task, where every pair that
-shares a band is compared. A component with more sets than a unit may hold is
-cut into blocks and every two blocks make a unit, so that a group of copies of
-any size is verified whole, in bounded memory, and no pairs are ever emitted:
-a unit returns link counts and, for each class, one edge towards its root.
+band's hash is equal. A unit of verification is a set of classes whose full
+n-gram sets lie in one task, where every pair that shares a band is compared. A
+component of the meeting graph that a task can hold is one unit. Of a larger one
+either the classes that meet in a band are a unit for each band, and a pair is
+compared in the first band that it shares; or the component is: whichever sends
+fewer texts, that is, the former where weak similarities chain up, the latter
+where all are alike. Where a unit is still too large it is cut into blocks and
+every two blocks make a unit. So groups of any size are verified whole, in
+bounded memory, and no pairs are ever emitted: a unit returns link counts and,
+for each class, one edge towards its root.
 """
 
 from __future__ import annotations
@@ -113,23 +117,37 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_key"))).alias("first")
 
 
+def _blocks(n: str, grams: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / UNIT_CLASSES), F.ceil(F.col(grams) / UNIT_GRAMS)).cast("int")
+
+
 def _units(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root, a, b, own, blocks): the units that a class goes to, by its own block."""
+    """The units that a class goes to: key and what verification needs, root, j and band (-1 and 0: the whole component), a, b and own block, whole."""
     members = classes.select("key", "first", "n_copies", "n_grams", "bands").join(roots, "key")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    blocks = sizes.select("root", F.greatest(F.ceil(F.col("n") / UNIT_CLASSES), F.ceil(F.col("grams") / UNIT_GRAMS)).cast("int").alias("blocks"))
-    # A component of one class and a half block would only make empty units.
-    cut = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).withColumn("blocks", _blocks("n", "grams"))
+    sizes = _base.checkpoint(sizes)
+    large = members.join(sizes.where("blocks > 1").select("root"), "root", "left_semi") if sizes.where("blocks > 1").count() > _base.BROADCAST_ROWS else members.join(F.broadcast(sizes.where("blocks > 1").select("root")), "root", "left_semi")
+    meeting = large.select("root", "n_grams", F.posexplode("bands").alias("j", "band")).groupBy("root", "j", "band").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).where("m > 1").withColumn("blocks", _blocks("m", "g"))
+    meeting = _base.checkpoint(meeting)
+    sent = meeting.groupBy("root").agg(F.sum(F.col("m") * F.col("blocks")).alias("sent"))
+    plan = _base.checkpoint(sizes.join(sent, "root", "left").select("root", "n", "blocks", (F.col("sent") < F.col("n") * F.col("blocks")).alias("by_band")))
+    planned = _base.spread_join(members, plan, ["root"], "n").drop("n")
+    whole = planned.where("by_band is null or not by_band").select("*", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("band"), (F.col("blocks") == 1).alias("whole"))
+    places = planned.where("by_band").drop("blocks").select("*", F.posexplode("bands").alias("j", "band"))
+    banded = _base.spread_join(places, meeting.drop("g"), ["root", "j", "band"], "m").drop("m").withColumn("whole", F.lit(False))
+    cut = whole.unionByName(banded).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("other")
 
 
-def _shared(bands: np.ndarray, own: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with an equal band; if cross, of different blocks only."""
+def _shared(bands: np.ndarray, own: np.ndarray, cross: bool, first: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with an equal band, or whose first equal band is ``first``; if cross, of different blocks only."""
     k = len(bands)
     meet = np.zeros((k, k), bool)
-    for j in range(bands.shape[1]):
+    for j in range(bands.shape[1] if first < 0 else first):
         meet |= bands[:, j][:, None] == bands[:, j][None, :]
+    if first >= 0:
+        meet = ~meet & (bands[:, first][:, None] == bands[:, first][None, :])
     if cross:
         meet &= own[:, None] != own[None, :]
     return np.nonzero(np.triu(meet, 1))
@@ -176,7 +194,7 @@ def _verify(rows: list[dict], n: int, threshold: float) -> Iterator[tuple]:
     if len(rows) < 2:
         return
     own = np.array([r["own"] for r in rows])
-    x, y = _shared(np.array([r["bands"] for r in rows], np.int64), own, rows[0]["a"] != rows[0]["b"])
+    x, y = _shared(np.array([r["bands"] for r in rows], np.int64), own, rows[0]["a"] != rows[0]["b"], rows[0]["j"])
     if not len(x):
         return
     grams, first = gram_sets(_words.Chunk([r["text"] or b"" for r in rows]), n)
@@ -209,37 +227,37 @@ def _verify(rows: list[dict], n: int, threshold: float) -> Iterator[tuple]:
 
 def _verified(docs: DataFrame, units: DataFrame, n: int, threshold: float) -> DataFrame:
     texts = _texts(docs)
-    wanted = units.select(F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key"), "key", "root", "a", "b", "own", "blocks", "n_copies", "bands")
+    wanted = units.select(F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key"), "key", "root", "j", "band", "a", "b", "own", "whole", "n_copies", "bands")
     there = texts.join(wanted, (texts["text_key"] == wanted["want_key"]) & texts["doc_id"].eqNullSafe(wanted["want_id"]))
-    columns = ["root", "a", "b", "key", "own", "blocks", "n_copies", "bands", "text"]
-    dealt = there.select(*columns).repartition(_base.shuffle_partitions(docs.sparkSession), "root", "a", "b").sortWithinPartitions("root", "a", "b")
+    unit = ["root", "j", "band", "a", "b"]
+    dealt = there.select(*unit, "key", "own", "whole", "n_copies", "bands", "text").repartition(_base.shuffle_partitions(docs.sparkSession), *unit).sortWithinPartitions(*unit)
 
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         current, held = None, []
         for batch in batches:
             text = batch.schema.get_field_index("text")
             for r in batch.set_column(text, "text", batch.column(text).cast(pa.binary())).to_pylist():
-                unit = r["root"], r["a"], r["b"]
-                if unit != current:
+                its = tuple(r[c] for c in unit)
+                if its != current:
                     if held:
                         yield held
-                    current, held = unit, []
+                    current, held = its, []
                 held.append(r)
         if held:
             yield held
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        types = (pa.binary(), pa.int64(), pa.binary(), pa.int32())
-        make = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "links", "root", "blocks"])
+        types = (pa.binary(), pa.int64(), pa.binary(), pa.bool_())
+        make = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "links", "root", "whole"])
         for rows in unit_rows(batches):
-            out += [(*found, rows[0]["blocks"]) for found in _verify(rows, n, threshold)]
+            out += [(*found, rows[0]["whole"]) for found in _verify(rows, n, threshold)]
             if len(out) > 10_000:
                 yield make()
                 out.clear()
         yield make()
 
-    return dealt.mapInArrow(verify, "key binary, links long, root binary, blocks int")
+    return dealt.mapInArrow(verify, "key binary, links long, root binary, whole boolean")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
@@ -265,14 +283,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     full = signed.where(F.col("key").isNotNull())
     classes = _base.checkpoint(full.groupBy("key").agg(_first(), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
     meeting = classes.select("key", F.explode("bands").alias("band"))
-    places = meeting.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
-    edges = meeting.join(places, "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    places = _base.checkpoint(meeting.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low <> high").drop("high"))
+    edges = _base.spread_join(meeting, places, ["band"], "n").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     units = _units(classes, connected_components(edges))
     found = _base.checkpoint(_verified(docs, units, words, threshold))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    # A component in one block has its root already; the others' edges are joined up.
-    whole = found.where("blocks = 1").select("key", "root")
-    parts = connected_components(found.where("blocks > 1").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    # A component in one unit has its root already; the others' edges are joined up.
+    whole = found.where("whole").select("key", "root")
+    parts = connected_components(found.where("not whole").select(F.col("key").alias("a"), F.col("root").alias("b")))
     roots = whole.unionByName(parts)
     linked = classes.join(roots, "key").join(links, "key").select("key", "root", "links", "first", "n_copies")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
@@ -294,18 +312,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class: one of each group, and all rows that have none.
 
-    Repeated rows of a doc_id and text with words are one document of which one row stays.
+    Repeated rows of a doc_id and text with words are one document of which one
+    row stays; texts that are null, empty or blank all stay. Columns of any name
+    are kept.
     """
     found = _base.checkpoint(near_duplicates(docs, **options))
-    gone = found.where(~F.col("is_first")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    key = F.xxhash64(docs["text"])
-    left = docs.join(gone, (key == gone["gone_key"]) & docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
-    again = found.where("is_first and n_copies > 1").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    gone_id, gone_key = _base.fresh(docs, "gone_id"), _base.fresh(docs, "gone_key")
+    gone = found.where(~F.col("is_first")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    left = docs.join(gone, (F.xxhash64(docs["text"]) == gone[gone_key]) & docs["doc_id"].cast("long").eqNullSafe(gone[gone_id]), "left_anti")
+    again = found.where("is_first and n_copies > 1").groupBy("doc_id", "text_key").count().where("count > 1")
     if again.isEmpty():
         return left
-    repeated = left.join(again.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key")), (F.xxhash64(left["text"]) == F.col("again_key")) & left["doc_id"].cast("long").eqNullSafe(F.col("again_id")), "left_semi")
-    others = left.join(again.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key")), (F.xxhash64(left["text"]) == F.col("again_key")) & left["doc_id"].cast("long").eqNullSafe(F.col("again_id")), "left_anti")
-    return others.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    its_id, its_key = _base.fresh(docs, "its_id"), _base.fresh(docs, "its_key")
+    again = again.select(F.col("doc_id").alias(its_id), F.col("text_key").alias(its_key))
+    same = (F.xxhash64(left["text"]) == F.col(its_key)) & left["doc_id"].cast("long").eqNullSafe(F.col(its_id))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _bits(keys: list) -> list[int]:
 
 
 def _pack_rows(rows: list[dict], capacity: int) -> Iterator[tuple]:
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["cluster"], r["n_tokens"]))
+    rows.sort(key=lambda r: [(r[c] is None, r[c]) if r[c] is not None else (True,) for c in ("doc_id", "cluster", "source", "n_tokens")])
     source, cluster = _bits([r["source"] for r in rows]), _bits([r["cluster"] for r in rows])
     rest = [(i, r["n_tokens"] % capacity) for i, r in enumerate(rows) if r["n_tokens"] % capacity or not r["n_tokens"]]
     placed = pack_block([(n, source[i], cluster[i]) for i, n in rest], capacity)
@@ -77,8 +77,8 @@ def _with_classes(items: DataFrame, docs: DataFrame) -> DataFrame:
     """The class of near duplicates as cluster; texts without words, and classes without an id, keep theirs."""
     classes = near_duplicates(docs).where("n_copies > 0 and class_id is not null")
     named = classes.select(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"), F.col("class_id").cast("string").alias("class")).distinct()
-    joined = items.join(named, items["doc_id"].eqNullSafe(named["its_id"]) & (items["text_key"] == named["its_key"]), "left")
-    return joined.select("doc_id", "n_tokens", "source", F.coalesce("class", "cluster").alias("cluster"), "place")
+    joined = items.join(named, items["doc_id"].cast("long").eqNullSafe(named["its_id"]) & (items["text_key"] == named["its_key"]), "left")
+    return joined.withColumn("cluster", F.coalesce("class", "cluster")).drop("its_id", "its_key", "class")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_PER_BLOCK, text: str = "text", source: str = "source", cluster: str | None = None, near_copies: bool = False) -> DataFrame:
@@ -94,21 +94,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
 
     Null and empty texts have the end mark only and no cluster of their own.
     Null sources and clusters conflict with nothing. Repeated rows are copies,
-    each placed. An empty table gives an empty result; other columns are ignored.
+    each placed. The block of a row follows from its values and its number among
+    rows alike, so bins don't depend on how the table is laid out. doc_id may
+    have any type (with ``near_copies``, long). An empty table gives an empty
+    result; other columns are ignored.
     """
     _base.require(docs, "doc_id", text, source, *([cluster] if cluster else []))
-    named = F.col(cluster).cast("string") if cluster else F.when(F.length(text) > 0, F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(5)))))
+    named = F.col(cluster).cast("string") if cluster else F.when(F.length(text) > 0, F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(5), text))))
     n_tokens = (F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) + 1).cast("long")
-    # The row's place in the input spreads rows that are all alike.
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.alias("n_tokens"), F.col(source).cast("string").alias("source"), named.alias("cluster"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("place"))
+    each = docs.select("doc_id", n_tokens.alias("n_tokens"), F.col(source).cast("string").alias("source"), named.alias("cluster"), F.xxhash64(text).alias("text_key"))
+    # Rows that are all alike are counted before they are dealt.
+    items = each.groupBy("doc_id", "n_tokens", "source", "cluster", "text_key").agg(F.count("*").alias("n"))
     if near_copies and not cluster:
-        items = _with_classes(items, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
+        items = _with_classes(items, docs.select("doc_id", F.col(text).alias("text")))
     spark = docs.sparkSession
     n_blocks = max(1, -(-docs.count() // docs_per_block))
-    block = F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(n_blocks))
-    dealt = items.select("doc_id", "n_tokens", "source", "cluster", block.alias("block")).repartition(max(1, min(n_blocks, _base.shuffle_partitions(spark))), "block").sortWithinPartitions("block")
+    columns = ["doc_id", "n_tokens", "source", "cluster"]
+    placed = items.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    block = F.pmod(F.xxhash64(*columns, "copy"), F.lit(n_blocks))
+    dealt = placed.select(*columns, block.alias("block")).repartition(max(1, min(n_blocks, _base.shuffle_partitions(spark))), "block").sortWithinPartitions("block")
+    schema = docs.select("doc_id").schema.add("piece", "long").add("bin", "long").add("start", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
         def made(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for r in _pack_rows(rows, capacity):
@@ -121,10 +130,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
         def as_batch(block: int, out: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*out)) or [()] * 5
             bins = np.array(columns[2], np.int64) + (block << 32)
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(bins), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["doc_id", "piece", "bin", "start", "n_tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64()), pa.array(bins), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["doc_id", "piece", "bin", "start", "n_tokens"])
 
         current, held = None, []
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for r in batch.to_pylist():
                 if r["block"] != current:
                     if held:
@@ -134,7 +144,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_block: int = DOCS_P
         if held:
             yield from made(current, held)
 
-    return dealt.mapInArrow(run, "doc_id long, piece long, bin long, start long, n_tokens long")
+    return dealt.mapInArrow(run, schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ EDGES = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, LONG),
 @pytest.fixture(scope="module")
 def edges(spark):
     """With extra columns whose names the operators use inside."""
-    extra = {c: F.lit("clash") for c in ("key", "size", "part", "score", "lang_pred", "n_lines", "media", "block", "bucket", "tree", "value_hash", "start", "h1")}
+    extra = {c: F.lit("clash") for c in ("key", "size", "part", "score", "lang_pred", "n_lines", "media", "block", "bucket", "tree", "value_hash", "start", "h1", "its_id", "its_key", "gone", "_gone", "gone_id", "gone_key", "again_id", "__gone", "__text", "__id", "__key", "body", "class", "cluster", "n", "copy", "words", "numbers", "text_key", "label")}
     return docs_of(spark, EDGES).withColumns(extra).cache()
 
 
@@ -200,6 +200,16 @@ def test_packing(documents, texts):
     assert total == {i: len((r["text"] or "").split()) + 1 for i, r in texts.items()}
 
 
+def test_packing_whatever_the_layout(spark, documents):
+    bins = [sorted(map(tuple, packing.pack(df, docs_per_block=20).collect())) for df in (documents, documents.repartition(7, "source"))]
+    assert bins[0] == bins[1]
+    named = documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text", "source")
+    assert {r["doc_id"] for r in packing.pack(named).collect()} == {f"d{r['doc_id']}" for r in documents.collect()}
+    alike = spark.createDataFrame([(1, "a b", None)] * 50 + [(1, None, "s"), (1, "c", "s"), (1, "c d", None)], "doc_id long, text string, source string")
+    rows = packing.pack(alike).collect()
+    assert len(rows) == 53 and len({r["bin"] for r in rows if r["n_tokens"] == 3}) >= 50
+
+
 def test_packing_keeps_near_copies_apart(spark, tmp_path):
     rows = []
     for k in range(20):
@@ -391,15 +401,15 @@ ITEMS = "item_id long, text string"
 
 def test_decontamination_brute_force(spark, sf_dir, texts):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    some = spark.createDataFrame([(i, r["text"][:4000]) for i, r in texts.items() if len(r["text"] or "") < 4000][:80], "doc_id long, text string")
-    want = decontaminate.brute_force([tuple(r) for r in some.collect()], [tuple(r) for r in items.collect()][:15])
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(some, items).collect() if r["item_id"] in {x[0] for x in items.collect()[:15]}}
-    assert got == want
+    some = [(i, r["text"]) for i, r in texts.items() if len(r["text"] or "") < 1000]
+    want = decontaminate.brute_force(some, [tuple(r) for r in items.select("item_id", "text").collect()])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(some, "doc_id long, text string"), items).collect()}
+    assert got == want and got
 
 
 def test_substitutions(spark):
     item = passage(9, 30).split()
-    items = spark.createDataFrame([(1, " ".join(item)), (2, "alpha beta gamma delta epsilon"), (3, "too short"), (4, None), (5, "")], ITEMS)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "alpha beta gamma delta epsilon"), (3, "too short"), (4, None), (5, ""), (6, "?!"), (7, "Solo")], ITEMS)
     changed = lambda *at: " ".join("zzz" if i in at else w for i, w in enumerate(item))
     rows = {
         1: "before " + changed() + " after",
@@ -411,16 +421,18 @@ def test_substitutions(spark):
         7: "too short",
         8: None,
         9: "",
+        10: "not too long or short",
+        11: "han solo",
     }
     df = docs_of(spark, list(rows.items()))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).collect()}
-    assert got == {(1, 1), (2, 1), (4, 1), (6, 2)}
-    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, items).collect()) == [3, 5, 7, 8, 9]
+    assert got == {(1, 1), (2, 1), (4, 1), (6, 2), (7, 3), (11, 7)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, items).collect()) == [3, 5, 8, 9, 10]
 
 
 def test_every_placement_of_substitutions():
     """For items of each length, alone and in other text: all that are allowed, and some with one more."""
-    allowed = {5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
+    allowed = {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
     items = [(n, passage(100 + n, n)) for n in allowed]
     docs, want = [], set()
     for n, text in items:
@@ -431,8 +443,7 @@ def test_every_placement_of_substitutions():
                     want |= {(len(docs), n)} if differ == allowed[n] else set()
                     docs.append((len(docs), t))
     assert decontaminate.brute_force(docs, items) == want
-    got = decontaminate.Seeds.of(items).overlaps([t for _, t in docs], decontaminate.OVERLAP, decontaminate.IDENTITY)
-    assert {(d, i) for d, i, *_ in got} == want
+    assert decontaminate.overlaps(items, [t for _, t in docs]) == want
 
 
 @pytest.mark.parametrize("overlap,identity", [(13, 0.8), (20, 0.8), (8, 0.5), (31, 0.9), (9, 1.0), (5, 0.2)])
@@ -447,16 +458,19 @@ def test_masks_for_other_passages(overlap, identity):
         docs.append((k, "one two " + " ".join("zzz" if i in at else w for i, w in enumerate(words[begin : begin + overlap])) + " three"))
     want = decontaminate.brute_force(docs, items, overlap, identity)
     assert len(want) >= 200
-    got = decontaminate.Seeds.of(items, None, overlap, identity).overlaps([t for _, t in docs], overlap, identity)
-    assert {(d, i) for d, i, *_ in got} == want
+    assert decontaminate.overlaps(items, [t for _, t in docs], overlap, identity) == want
 
 
-def test_benchmark_in_blocks(spark, sf_dir, documents, monkeypatch):
+def test_large_benchmark(spark, sf_dir, documents, monkeypatch):
+    """The same where seeds are shuffled, and where the filter lets everything through."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.contaminated(documents, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 600)
-    assert len(list(decontaminate._blocks(items, "item_id", "text", decontaminate.MASKS))) > 3
-    assert sorted(map(tuple, decontaminate.contaminated(documents, items).collect())) == whole
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 10)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8)
+    some = documents.where("length(text) < 2000")
+    kept = {r[0] for r in some.select("doc_id").collect()}
+    assert sorted(map(tuple, decontaminate.contaminated(some, items).collect())) == [r for r in whole if r[0] in kept]
+    monkeypatch.undo()
     left = {r[0] for r in decontaminate.decontaminate(documents, items).select("doc_id").collect()}
     assert left == {r[0] for r in documents.select("doc_id").collect()} - {r[0] for r in whole}
 
@@ -600,14 +614,47 @@ def test_ngram_join_brute_force(spark, documents):
     assert got == ngram_join.brute_force(rows)
 
 
-def test_large_components_in_blocks(spark, monkeypatch):
-    rows = near_group(90) + [(i, passage(i, 30)) for i in range(20)]
+def chain(n, words=60, step=3):
+    """Texts of which only neighbours are alike."""
+    long = passage(33, words + step * n).split()
+    return [(3000 + i, " ".join(long[step * i : step * i + words])) for i in range(n)]
+
+
+@pytest.mark.parametrize("classes", [7, 512])
+def test_large_components(spark, monkeypatch, classes):
+    """Whole, in blocks, and by band."""
+    rows = near_group(60) + chain(60) + [(i, passage(i, 30)) for i in range(20)]
     want = ngram_join.brute_force(rows)
-    monkeypatch.setattr(ngram_join, "UNIT_CLASSES", 7)
+    monkeypatch.setattr(ngram_join, "UNIT_CLASSES", classes)
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(docs_of(spark, rows)).collect()}
     assert got == want and max(x[1] for x in got.values()) > 10
 
 
+def test_chains_are_verified_by_band(spark, monkeypatch):
+    """A unit of a chain holds what meets in a band; a pair is compared once."""
+    monkeypatch.setattr(ngram_join, "UNIT_CLASSES", 7)
+    rows = chain(100)
+    bands, n = ngram_join.choose_bands()
+    signed = ngram_join._signatures(docs_of(spark, rows), 5, bands, n)
+    classes = signed.groupBy("key").agg(ngram_join._first(), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    units = ngram_join._units(classes, classes.select("key", F.lit(b"root").alias("root"))).collect()
+    assert all(r["j"] >= 0 for r in units) and len(units) < 100 * 100 / 7
+    meet = [b for b in {(r["key"], tuple(r["bands"])) for r in units}]
+    pairs = sum(len(ngram_join._shared(np.array([b for _, b in meet]), np.zeros(len(meet)), False, j)[0]) for j in range(bands))
+    assert pairs == len(ngram_join._shared(np.array([b for _, b in meet]), np.zeros(len(meet)), False)[0]) > 0
+
+
+def test_joins_with_large_sides(spark, documents, monkeypatch):
+    """The same rows where no side is small enough to be broadcast whole."""
+    rows = near_group(30) + [(i, passage(i % 9, 30)) for i in range(60)]
+    monkeypatch.setattr(ngram_join._base, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(ngram_join._base, "PARTS", 10)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == ngram_join.brute_force(rows)
+    want = brute_lines([(r["doc_id"], r["text"], r["source"]) for r in documents.collect()], 2)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.line_dedup(documents, min_sites=2).collect()} == want
+
+
 def test_intersections_both_ways():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)]
