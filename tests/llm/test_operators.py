@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -714,15 +715,100 @@ def test_probe_column(spark):
     df = spark.createDataFrame([(1, good), (2, None), (3, b"junk")], "doc_id long, media binary").withColumn("codec", F.lit("clash"))
     rows = {r["doc_id"]: r for r in media.with_probe(df).collect()}
     assert rows[1]["codec"] == "raw " and rows[1]["duration"] == 400 and rows[1]["n_samples"] == 3 and rows[1]["media_error"] is None
-    assert [(k["size"]) for k in rows[1]["keyframes"]] == [192]
+    assert [(k["size"]) for k in rows[1]["keyframes"]] == [192] and [(t["handler"], t["n_samples"]) for t in rows[1]["tracks"]] == [("soun", 3)]
     assert rows[2]["codec"] is None and rows[2]["media_error"] is None and rows[3]["codec"] is None and rows[3]["media_error"]
     assert media.with_probe(df.limit(0)).count() == 0
 
 
+def inside(data, kind):
+    a, b = next((a, b) for path, a, b in media._tree(data, *next((a, b) for k, a, b in media.boxes(data) if k == b"moov")) if path[-1] == kind)
+    return data[a:b]
+
+
+def two_tracks():
+    """A file whose second track is a video one, in fragments of its own."""
+    plain = media.write_media(b"")
+    trak = inside(plain, b"trak")
+    video = trak.replace(b"soun", b"vide").replace(b"raw ", b"avc1")
+    at = video.index(b"tkhd") + 4 + 12
+    video = video[:at] + (7).to_bytes(4, "big") + video[at + 4 :]
+    trex = media._full(b"trex", struct.pack(">5I", 7, 1, 10, 3, 0x10000))
+    moov = media._box(b"moov", inside(plain, b"mvhd") and media._box(b"mvhd", inside(plain, b"mvhd")), media._box(b"trak", trak), media._box(b"trak", video), media._box(b"mvex", trex))
+
+    def moof(shift):
+        first = media._box(b"trun", struct.pack(">I", 1 | 4), struct.pack(">Ii", 2, shift), struct.pack(">I", 0))
+        second = media._box(b"trun", struct.pack(">I", 0x100 | 0x200 | 0x400), struct.pack(">I", 2), struct.pack(">6I", 20, 5, 0, 30, 1, 0x10000))
+        return media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7)), first, second))
+
+    payload = b"aaabbbcccccd"
+    return media._box(b"ftyp", b"isom\0\0\0\0") + moov + moof(len(moof(0)) + 8) + media._box(b"mdat", payload), payload
+
+
+def test_all_tracks_and_fragments(spark):
+    data, payload = two_tracks()
+    audio, video = media.probe_media(data)
+    assert (audio.track_id, audio.handler, len(audio.sizes)) == (1, "soun", 0)
+    assert (video.track_id, video.handler, video.codec, video.duration) == (7, "vide", "avc1", 70)
+    assert video.sizes.tolist() == [3, 3, 5, 1] and video.payload(data) == payload and video.keyframes.tolist() == [0, 2]
+    with pytest.raises(media.MediaError):
+        media.probe_media(data[:-1] if data[:-1] != data else b"")
+    (r,) = media.with_probe(spark.createDataFrame([(bytearray(data),)], "media binary")).collect()
+    assert [t["codec"] for t in r["tracks"]] == ["raw ", "avc1"] and [k["size"] for k in r["tracks"][1]["keyframes"]] == [3, 5]
+
+
+def test_compact_sample_sizes():
+    data = media.write_media(bytes(range(7)) * 3, sample_bytes=5)
+    (want,) = media.probe_media(data)
+    a = data.index(b"stsz") - 4
+    size = int.from_bytes(data[a : a + 4], "big")
+    for width, sizes in ((4, bytes([0x55, 0x55, 0x10])), (8, bytes([5, 5, 5, 5, 1])), (16, bytes([0, 5, 0, 5, 0, 5, 0, 5, 0, 1]))):
+        box = media._full(b"stz2", struct.pack(">II", width, 5), sizes)
+        box += media._box(b"free", b"\0" * (size - len(box) - 8))
+        assert len(box) == size
+        (got,) = media.probe_media(data[:a] + box + data[a + size :])
+        assert got.sizes.tolist() == want.sizes.tolist() == [5, 5, 5, 5, 1]
+
+
+def test_malformed_media():
+    """Any bytes give tracks or MediaError, fast and in little memory."""
+    deep = b""
+    for _ in range(1500):
+        deep = media._box(b"trak", deep)
+    good = media.write_media(b"x" * 1000)
+    assert media.boxes(deep)
+    cut = media._box(b"moov", media._box(b"trak", *[media._box(k, b"") for k in (b"hdlr", b"stsd", b"stts", b"stsc", b"stco", b"stsz", b"mdhd")]))
+    sized = good[: good.index(b"stsz") + 8] + struct.pack(">II", 1, 200_000_000) + good[good.index(b"stsz") + 16 :]
+    for data in (media._box(b"moov", deep), cut, sized):
+        with pytest.raises(media.MediaError):
+            media.probe_media(data)
+    r = random.Random(5)
+    for source in (good, two_tracks()[0]):
+        for _ in range(3000):
+            data = bytearray(source)
+            for _ in range(r.randrange(1, 4)):
+                data[r.randrange(len(data) - 12 if len(source) > 900 else len(data))] = r.choice([0, 1, 255, r.randrange(256)])
+            try:
+                media.probe_media(bytes(data[: r.choice([len(data), r.randrange(len(data))])]))
+            except media.MediaError:
+                pass
+
+
+def test_media_query(spark, sf_dir, texts):
+    """Each digest by hashlib and zlib over the whole texts."""
+    for r in media.op10_media(spark, sf_dir).collect():
+        raw = (texts[r["doc_id"]]["text"] or "").encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        stored = media.write_media(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and payload in stored
+        assert [stored[k["start"] : k["start"] + k["size"]] for k in r["keyframes"]] == [payload[i : i + 192] for i in range(0, len(payload), 192 * 8)]
+
+
 def test_media_of_texts(spark, edges, empty):
     rows = media.media_of_texts(edges).collect()
     assert len(rows) == len(EDGES)
     for r in rows:
         payload = media.probe_media(bytes(r["media"]))[0].payload(bytes(r["media"]))
+        assert payload.startswith(dict(EDGES)[r["doc_id"]].encode() if dict(EDGES)[r["doc_id"]] else b"")
         assert len(payload) % 192 == 0 and len(payload) >= 192 and not payload[r["n_bytes"] :].strip(b" ")
     assert media.media_of_texts(empty).count() == 0
