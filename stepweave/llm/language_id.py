@@ -10,6 +10,7 @@ language whose prototype has the largest cosine with it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,17 @@ from . import _base
 
 DIMENSIONS = 1024
 SEED = 20240607
-#: Training documents, about: prototypes are fitted on a sample of the labelled rows of this size.
-TRAIN_ROWS = 20_000
+#: Training documents of each language, about: its prototype is fitted on a sample of its labelled rows of this size.
+TRAIN_ROWS = 5_000
 MAX_LANGUAGES = 1024
 CHUNK_CHARS = 400_000
+#: Distinct trigrams that are bound at a time, and letters whose vectors are kept.
+KINDS_AT_ONCE = 8192
+LETTERS_KEPT = 20_000
 UNKNOWN = "und"
+#: A text of so many letters whose cosine is within so many standard deviations of a random one resembles no language.
+LEAST_LETTERS = 100
+SIGMAS = 4.0
 
 _SCALE = 1 << 24
 _BOUNDARY = 10
@@ -42,24 +49,32 @@ def _is_letter() -> np.ndarray:
 
 
 def _letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
-    for p in points.tolist():
+    if len(_vectors) > LETTERS_KEPT:
+        _vectors.clear()
+    out = np.zeros((len(points), dimensions), np.int8)
+    for i, p in enumerate(points.tolist()):
         if (p, dimensions) not in _vectors:
             _vectors[p, dimensions] = np.random.Generator(np.random.PCG64([SEED, p])).integers(0, 2, dimensions, np.int8) * 2 - 1
-    return np.stack([_vectors[p, dimensions] for p in points.tolist()]) if len(points) else np.zeros((0, dimensions), np.int8)
+        out[i] = _vectors[p, dimensions]
+    return out
 
 
-def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """One row for each text: the sum of its trigrams' vectors, all zero where it has no letters."""
-    lower = [t.lower() for t in texts]
-    points = np.frombuffer(("\n" + "\n\n".join(lower) + "\n").encode("utf-32-le"), np.uint32)
-    lead = np.cumsum([0] + [len(t) + 2 for t in lower[:-1]]) if lower else np.zeros(0, np.int64)
-    letter = _is_letter()[points]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[lead] = True
-    at = np.flatnonzero(keep)
-    owner = np.searchsorted(lead, at, side="right") - 1
-    symbols = np.where(letter[at], points[at], _BOUNDARY)
+def _bound(kinds: np.ndarray, present: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vectors of trigrams, each given as a number with its letters' codes for digits."""
+    k = len(present)
+    digits = kinds // (k * k), kinds // k % k, kinds % k
+    used = np.unique(np.concatenate(digits))
+    letters = _letter_vectors(present[used], dimensions)
+    first, second, third = (np.searchsorted(used, d) for d in digits)
+    out = letters[first]
+    out *= np.roll(letters, 1, axis=1)[second]
+    out *= np.roll(letters, 2, axis=1)[third]
+    return out.astype(np.float32)
+
+
+def _bundled(symbols: np.ndarray, owner: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The sums of the vectors of all runs of three symbols with one owner; trigrams are bound a slice at a time."""
+    out = np.zeros((n, dimensions), np.float32)
     present = np.unique(symbols) if symbols.size < 4096 else np.flatnonzero(np.bincount(symbols))
     place = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
     place[present] = np.arange(len(present))
@@ -67,6 +82,8 @@ def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     trigram = (code[:-2] * k + code[1:-1]) * k + code[2:]
     inside = owner[:-2] == owner[2:]
     trigram, owner = trigram[inside], owner[:-2][inside]
+    if not len(trigram):
+        return out
     if k**3 <= 1 << 22:
         kinds = np.flatnonzero(np.bincount(trigram, minlength=1))
         column = np.zeros(k**3 + 1, np.int64)
@@ -74,36 +91,78 @@ def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
         trigram = column[trigram]
     else:
         kinds, trigram = np.unique(trigram, return_inverse=True)
-    letters = _letter_vectors(present, dimensions)
-    if not len(trigram):
-        return np.zeros((len(texts), dimensions), np.float32)
-    bound = letters[kinds // (k * k)]
-    bound = bound * np.roll(letters, 1, axis=1)[kinds // k % k]
-    bound = (bound * np.roll(letters, 2, axis=1)[kinds % k]).astype(np.float32)
-    out = np.empty((len(texts), dimensions), np.float32)
-    step = max(1, (1 << 22) // max(1, len(kinds)))
-    cuts = np.searchsorted(owner, np.arange(0, len(texts) + step, step))
-    for b, low in enumerate(range(0, len(texts), step)):
-        n = min(step, len(texts) - low)
-        part = slice(cuts[b], cuts[b + 1])
-        counts = np.bincount((owner[part] - low) * len(kinds) + trigram[part], minlength=n * len(kinds))
-        out[low : low + n] = counts.astype(np.float32).reshape(n, -1) @ bound
+    for begin in range(0, len(kinds), KINDS_AT_ONCE):
+        own = kinds[begin : begin + KINDS_AT_ONCE]
+        bound = _bound(own, present, dimensions)
+        if len(own) == len(kinds):
+            who, which = owner, trigram
+        else:
+            here = (trigram >= begin) & (trigram < begin + len(own))
+            who, which = owner[here], trigram[here] - begin
+        step = max(1, (1 << 22) // len(own))
+        cuts = np.searchsorted(who, np.arange(0, n + step, step))
+        for b, low in enumerate(range(0, n, step)):
+            rows = min(step, n - low)
+            part = slice(cuts[b], cuts[b + 1])
+            counts = np.bincount((who[part] - low) * len(own) + which[part], minlength=rows * len(own))
+            out[low : low + rows] += counts.astype(np.float32).reshape(rows, -1) @ bound
+    return out
+
+
+def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """One row for each text: the sum of its trigrams' vectors, all zero where it has no letters."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer(("\n" + "\n\n".join(lower) + "\n").encode("utf-32-le"), np.uint32)
+    lead = np.cumsum([0] + [len(t) + 2 for t in lower[:-1]]) if lower else np.zeros(0, np.int64)
+    letter = _is_letter()[points]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[lead] = True
+    at = np.flatnonzero(keep)
+    owner = np.searchsorted(lead, at, side="right") - 1
+    out = _bundled(np.where(letter[at], points[at], _BOUNDARY), owner, len(texts), dimensions)
     has = np.bincount(np.searchsorted(lead, np.flatnonzero(letter), side="right") - 1, minlength=len(texts)) > 0
     out[~has] = 0
     return out
 
 
+def _long_bundle(text: str, dimensions: int) -> np.ndarray:
+    """The bundle of one text, piece by piece: the last two symbols of a piece begin the next."""
+    total, carried, after_letter, any_letter = np.zeros(dimensions), np.array([_BOUNDARY]), False, False
+    lower = text.lower()
+    for low in range(0, len(lower), CHUNK_CHARS):
+        points = np.frombuffer(lower[low : low + CHUNK_CHARS].encode("utf-32-le"), np.uint32)
+        letter = _is_letter()[points]
+        keep = letter | np.r_[after_letter, letter[:-1]]
+        symbols = np.r_[carried, np.where(letter, points, _BOUNDARY)[keep]].astype(np.int64)
+        after_letter, any_letter = bool(letter[-1]), any_letter or bool(letter.any())
+        if low + CHUNK_CHARS >= len(lower) and after_letter:
+            symbols = np.r_[symbols, _BOUNDARY]
+        total += _bundled(symbols, np.zeros(len(symbols), np.int64), 1, dimensions)[0]
+        carried = symbols[-2:]
+    return (total if any_letter else np.zeros(dimensions)).astype(np.float32)
+
+
 def _bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
-    """In chunks of a bounded number of characters; a longer text makes a chunk of its own."""
+    """In chunks of a bounded number of characters; a longer text in pieces of that size."""
     done, low, size = [], 0, 0
+
+    def close(high: int) -> None:
+        if high > low:
+            done.append(bundle([t or "" for t in texts[low:high]], dimensions))
+
     for i, t in enumerate(texts):
         n = len(t or "")
-        if size and size + n > CHUNK_CHARS:
-            done.append(bundle([t or "" for t in texts[low:i]], dimensions))
+        if size + n > CHUNK_CHARS:
+            close(i)
             low, size = i, 0
+            if n > CHUNK_CHARS:
+                done.append(_long_bundle(t, dimensions)[None])
+                low = i + 1
+                continue
         size += n + 1
-    done.append(bundle([t or "" for t in texts[low:]], dimensions))
-    return np.concatenate(done)
+    close(len(texts))
+    return np.concatenate(done) if done else np.zeros((0, dimensions), np.float32)
 
 
 @dataclass(frozen=True)
@@ -124,6 +183,15 @@ class Profiles:
         score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], score.astype(np.float64)
 
+    def resembles(self, texts: list[str | None], least_letters: int = LEAST_LETTERS, sigmas: float = SIGMAS) -> np.ndarray:
+        """Whether each text may be of a known language: it has letters, and is short or has a cosine that chance doesn't explain; without languages, whether it has letters."""
+        names, score = self.predict(texts)
+        floor = sigmas / math.sqrt(self.prototypes.shape[1])
+        letters = lambda t: sum(map(str.isalpha, t or ""))
+        if not self.languages:
+            return np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+        return np.array([name != UNKNOWN and (s >= floor or letters(t) < least_letters) for name, s, t in zip(names, score.tolist(), texts)], bool)
+
 
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; false for null."""
@@ -131,20 +199,25 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> Profiles:
-    """Prototypes from rows with a non-null language.
-
-    train_rows bounds the sample (in expectation; rows are taken by a hash of
-    the key, all of them if there are fewer). Sums are of integers, so the
-    prototypes don't depend on the order of rows. Rows without letters and empty
-    tables add nothing; without any language the profiles predict ``und``.
+    """Prototypes from rows with a non-null language; ``und`` is none.
+
+    train_rows bounds the sample of each language (in expectation; rows are
+    taken by a hash of the key, all of them if there are fewer). Sums are of
+    integers, so the prototypes don't depend on the order of rows. Rows without
+    letters and empty tables add nothing; without any language the profiles
+    predict ``und``. The model holds a prototype for each language: more than
+    MAX_LANGUAGES are an error.
     """
     _base.require(docs, text, lang, key)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n, kinds = labelled.agg(F.count("*"), F.count_distinct(F.col(lang).cast("string"))).first()
-    if kinds > MAX_LANGUAGES:
-        raise ValueError(f"{kinds} languages; at most {MAX_LANGUAGES}")
-    if n > train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
+    name = F.col(lang).cast("string")
+    labelled = docs.where(name.isNotNull() & (name != UNKNOWN) & F.col(text).isNotNull()).select(F.col(text).alias("text"), name.alias("lang"), F.xxhash64(F.lit(SEED), key).alias("at"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    many = {x: int((1 << 30) * train_rows / n) for x, n in sizes.items() if n > train_rows}
+    if many:
+        limit = F.create_map(*[F.lit(v) for pair in many.items() for v in pair])
+        labelled = labelled.where(F.pmod("at", F.lit(1 << 30)) < F.coalesce(limit[F.col("lang")], F.lit(1 << 30)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -156,7 +229,7 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimens
                 total[name] = total.get(name, 0) + np.rint(vectors[langs == name] * _SCALE).astype(np.int64).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["language", "vector"])
 
-    parts = labelled.select(F.col(text), F.col(lang).cast("string")).mapInArrow(sums, "language string, vector array<long>")
+    parts = labelled.select("text", "lang").mapInArrow(sums, "language string, vector array<long>")
     # One row for each language and dimension, added where it lies.
     rows = parts.select("language", F.posexplode("vector").alias("place", "v")).groupBy("language", "place").agg(F.sum("v").alias("v")).groupBy("language").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("vector")).collect()
     found = {r["language"]: np.array([x["v"] for x in r["vector"]], np.float64) for r in rows}
@@ -174,7 +247,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", o
     _base.require(docs, text)
     kept = [c for c in (docs.columns if output is None else output) if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    source = docs.select(*kept, F.col(text).alias("__text"))
+    source = docs.select(*kept, F.col(text).alias(_base.fresh(docs, "its_text")))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +257,25 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", o
     return source.mapInArrow(predict, schema)
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", least_letters: int = LEAST_LETTERS, sigmas: float = SIGMAS) -> DataFrame:
+    """The rows that may be of a known language, with all their columns, whatever these are named.
+
+    Rows go whose text is null or has no letters, and those of least_letters
+    letters or more whose best cosine is under sigmas / sqrt(dimensions), that
+    is, no larger than that of random letters may be. Short texts stay, and
+    without any known language all that have a letter do. Repeated rows go or
+    stay together; an empty table gives an empty result.
+    """
+    _base.require(docs, text)
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(profiles.resembles(batch.column(place).to_pylist(), least_letters, sigmas), pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; profiles are fitted on the documents that aren't held out."""
     docs = _base.table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id").cast("string")))

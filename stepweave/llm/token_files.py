@@ -4,8 +4,8 @@ Ids are cut into blocks of 128. Each block stores its minimum, the differences
 to it in a bit width chosen among percentiles of its differences, and what is
 too large for that width in an exception list. A file holds many documents:
 
-    magic "PFR1", then little-endian: u32 block length, u64 ids, u32 documents,
-    u32 blocks; i64 doc_id of each document, u32 ids of each document; u32 start
+    magic "PFR2", then little-endian: u32 block length, u64 ids, u32 documents,
+    u32 documents without a doc_id (the first ones), u32 blocks; i64 doc_id of each document, u32 ids of each document; u32 start
     of each block, counted from the first; the blocks.
     A block: u32 minimum, u16 exceptions, u8 width, u8 zero; the packed
     differences (width * 16 bytes); u8 place and u32 high bits of each exception.
@@ -17,9 +17,12 @@ ascending doc_id.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ END_ID = 2
 CACHED_WORDS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
-_HEAD = struct.Struct("<4sIQII")
+_HEAD = struct.Struct("<4sIQIII")
 _BLOCK_HEAD = np.dtype([("minimum", "<u4"), ("exceptions", "<u2"), ("width", "u1"), ("zero", "u1")])
 
 
@@ -44,8 +47,8 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.int64)
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file; ids are those of all documents one after the other."""
+def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
+    """One file; ids are those of all documents one after the other, of which the first ``unnamed`` have no doc_id."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     values = np.zeros(blocks * BLOCK, np.int64)
@@ -84,13 +87,13 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byt
     out[tail[row] + rank] = place
     spill = high[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
     out[(tail[row] + exceptions[row] + 4 * rank)[:, None] + np.arange(4)] = spill
-    return b"".join([_HEAD.pack(b"PFR1", BLOCK, n, len(doc_ids), blocks), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), start.astype("<u4").tobytes(), out.tobytes()])
+    return b"".join([_HEAD.pack(b"PFR2", BLOCK, n, len(doc_ids), unnamed, blocks), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), start.astype("<u4").tobytes(), out.tobytes()])
 
 
-def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc ids, ids of each document, and all token ids (uint32), from the bytes alone."""
-    magic, block, n, docs, blocks = _HEAD.unpack_from(data)
-    if magic != b"PFR1" or block != BLOCK:
+def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc ids, ids of each document, all token ids (uint32), and how many documents have no doc_id, from the bytes alone."""
+    magic, block, n, docs, unnamed, blocks = _HEAD.unpack_from(data)
+    if magic != b"PFR2" or block != BLOCK:
         raise ValueError("not a token file of this format")
     at = _HEAD.size
     doc_ids = np.frombuffer(data, "<i8", docs, at)
@@ -98,7 +101,7 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.frombuffer(data, "<u4", blocks, at + 12 * docs).astype(np.int64)
     body = np.frombuffer(data, np.uint8, offset=at + 12 * docs + 4 * blocks)
     if not blocks:
-        return doc_ids, counts, np.zeros(0, np.uint32)
+        return doc_ids, counts, np.zeros(0, np.uint32), unnamed
     head = body[start[:, None] + np.arange(8)].copy().view(_BLOCK_HEAD)[:, 0]
     width, exceptions = head["width"].astype(np.int64), head["exceptions"].astype(np.int64)
     values = np.zeros((blocks, BLOCK), np.int64)
@@ -116,110 +119,97 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     high = body[(tail[row] + exceptions[row] + 4 * rank)[:, None] + np.arange(4)].copy().view("<u4")[:, 0].astype(np.int64) if len(row) else np.zeros(0, np.int64)
     values[row, place] |= high << width[row]
     values += head["minimum"].astype(np.int64)[:, None]
-    return doc_ids, counts, values.ravel()[:n].astype(np.uint32)
+    return doc_ids, counts, values.ravel()[:n].astype(np.uint32), unnamed
 
 
-class _Pieces(dict):
-    """Ids of pieces, each found once; two generations, so that the rare ones go."""
+#: Steps of a vocabulary file's rules that never look across white space.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
-    def __init__(self, make: Callable[[bytes | str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
 
-    def __missing__(self, text: bytes | str) -> bytes:
-        found = self.old.get(text)
-        if found is None:
-            found = self.make(text)
-        if len(text) <= 64:
-            self[text] = found
-        return found
+def _steps(rule: dict | None, inner: str) -> list[dict]:
+    return [] if rule is None else [x for step in rule[inner] for x in _steps(step, inner)] if rule["type"] == "Sequence" else [rule]
+
+
+def splits_at_space(rules: dict) -> bool:
+    """Whether a vocabulary file's rules drop white space and never join what it parts, so that a text's ids are those of its words."""
+    import regex
 
-    def trim(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self.old = dict(self)
-            self.clear()
+    for step in _steps(rules.get("normalizer"), "normalizers"):
+        if step["type"] not in _LOCAL and (step["type"], step.get("pattern"), step.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    first, *others = _steps(rules.get("pre_tokenizer"), "pretokenizers") or [{"type": ""}]
+    if (first["type"], first.get("behavior"), first.get("invert")) != ("Split", "Removed", True) or "Regex" not in first["pattern"]:
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in others):
+        return False
+    found = regex.compile(first["pattern"]["Regex"]).findall
+    probes = ["a", "B", "7", "'", "s", "'s", "é", "漢", "$", "-", "\u0301"]
+    if any(found(x + space + y) != found(x) + found(y) for space in " \t\n\x0b\x0c\r" for x in probes for y in probes):
+        return False
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", ())) and not rules.get("truncation") and not rules.get("padding")
 
 
 class Encoder:
     """Ids of texts by a public tokenizer, the same as encoding each text whole.
 
-    The vocabulary's rules never join pieces across white space, so a text's
-    ids are those of its words. Each distinct word of a chunk of texts is looked
-    up once, by 64-bit hash; ids of words and of their pieces are kept while
-    there is room. Texts with "<|", which can begin a special token, and words
-    beyond Latin-1 go through the library's whole path.
+    All ids come from the library. Where the vocabulary file's rules drop white
+    space and never join what it parts, each distinct word of a chunk of texts
+    is encoded once and its ids are kept while there is room; with any other
+    vocabulary texts are encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        # As the vocabulary file's pre-tokenizer has it.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        #: Control characters on whose class libraries differ.
-        self.odd = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]").search
-        self.bytes = _byte_letters()
-        self.pieces = _Pieces(self._piece)
-        self.words = _Pieces(self._word)
-
-    def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else "".join([self.bytes[b] for b in piece.encode()])
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        if not raw.isascii():
-            try:
-                word.encode("latin-1")  # has no other normal form and is lower-cased letter by letter
-            except UnicodeEncodeError:
-                return self._whole(word)
-        if word.isalpha():
-            return self.pieces[word.lower()]
-        if self.odd(word):
-            return self._whole(word)
-        return b"".join([self.pieces[x] for x in self.split(word.lower())])
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_space(json.load(f))
+        # Two generations, so that rare words go.
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        known, old = self.words, self.old
+        found = [known.get(w) or old.get(w) for w in words]
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            for i, ids in zip(missing, self._library([words[i] for i in missing])):
+                found[i] = ids
+        for w, ids in zip(words, found):
+            if len(w) <= 64:
+                known[w] = ids
+        if len(known) > CACHED_WORDS:
+            self.words, self.old = {}, known
+        return found
 
     def encode(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, each closed by end_id, and how many each has."""
-        special = {i: self._whole(x.decode()) for i, x in enumerate(raw) if b"<|" in x}
-        chunk = _words.Chunk([b"" if i in special else x for i, x in enumerate(raw)])
-        _, first, kind = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
-        joined, words = chunk.data.tobytes(), self.words
-        found = [words[joined[a:b]] for a, b in zip(chunk.start[first].tolist(), chunk.end[first].tolist())]
-        # After the words' ids come the end id and the texts that were encoded whole.
-        found += [struct.pack("<I", end_id), *special.values()]
-        end = len(found) - len(special) - 1
-        last = np.full(len(raw), end)
-        order = np.insert(kind, chunk.first[1:], last) if len(raw) else kind
-        if special:
-            places = (chunk.first[1:] + np.arange(len(raw)))[list(special)]
-            order = np.insert(order, places, np.arange(end + 1, len(found)))
+        if not self.by_word:
+            each = [np.r_[np.frombuffer(ids, "<u4"), np.uint32(end_id)] for ids in self._library(raw)]
+            return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(x) for x in each], np.int64)
+        chunk = _words.Chunk(raw)
+        joined = chunk.data.tobytes()
+        words = [joined[a:b] for a, b in zip(chunk.start.tolist(), chunk.end.tolist())]
+        kinds: dict[bytes, int] = defaultdict(count().__next__)
+        kind = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+        found = self._ids(list(kinds))
+        # After the words' ids comes the end id.
+        order = np.insert(kind, chunk.first[1:], len(found)) if len(raw) else kind
+        found.append(struct.pack("<I", end_id))
         flat = np.frombuffer(b"".join(found), "<u4")
         size = np.array([len(x) // 4 for x in found], np.int64)
         begin = np.cumsum(size) - size
         n = size[order]
         stop = np.cumsum(n)
         ids = flat[np.arange(int(n.sum())) + np.repeat(begin[order] - (stop - n), n)]
-        ends = stop[np.flatnonzero(order == end)]
-        self.pieces.trim()
-        self.words.trim()
+        ends = stop[np.flatnonzero(order == len(found) - 1)]
         return ids, np.diff(np.r_[0, ends])
 
 
-def _byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where printable in Latin-1, else the next letter from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -235,21 +225,21 @@ _FILES = "part int, seq int, n_ids long, n_docs long, content binary"
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bytes_per_file: int = BYTES_PER_FILE, text: str = "text") -> None:
     """Writes the ids of all documents, each ended by end_id, as a table of files in ascending doc_id order.
 
-    Null texts have the end id only. Null doc_ids stand first and are stored as
-    the smallest 64-bit number; repeated doc_ids follow each other by a hash of
-    the text. A document is never cut between files, so a very long one makes a
+    Null texts have the end id only. Null doc_ids stand first, and files say how
+    many they are; repeated doc_ids follow each other by a hash of the text. A document is never cut between files, so a very long one makes a
     larger file. An empty table makes no files.
     """
     _base.require(docs, "doc_id", text)
     n = _base.shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     dealt = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seq = _encoder(tokenizer).encode, 0
         for columns, raw in _words.rows_in_chunks(batches, limit=bytes_per_file):
             ids, counts = encode(raw, end_id)
-            content = encode_file(np.array(columns["doc_id"], np.int64), counts, ids)
+            unnamed = columns["doc_id"].count(None)
+            content = encode_file(np.array([i or 0 for i in columns["doc_id"]], np.int64), counts, ids, unnamed)
             yield pa.RecordBatch.from_arrays([pa.array(columns["part"][:1], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([content], pa.binary())], names=["part", "seq", "n_ids", "n_docs", "content"])
             seq += 1
 
@@ -268,17 +258,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, counts, ids = decode_file(batch.column(2)[k].as_py())
+                doc_ids, counts, ids, unnamed = decode_file(batch.column(2)[k].as_py())
                 ends = np.cumsum(counts.astype(np.int64))
                 starts = ends - counts
                 raw = ids.astype("<u4").tobytes()
                 cut = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
                 same = lambda i, t: pa.array([batch.column(i)[k].as_py()] * len(doc_ids), t)
-                yield pa.RecordBatch.from_arrays([same(0, pa.int32()), same(1, pa.int32()), pa.array(doc_ids.astype(np.int64)), pa.array(starts), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array(cut, pa.binary())], names=["part", "seq", "doc_id", "own_start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([same(0, pa.int32()), same(1, pa.int32()), pa.array(doc_ids.astype(np.int64), mask=np.arange(len(doc_ids)) < unnamed), pa.array(starts), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array(cut, pa.binary())], names=["part", "seq", "doc_id", "own_start", "n_tokens", "ids_crc32", "ids"])
 
     decoded = files.select("part", "seq", "content").mapInArrow(read, "part int, seq int, doc_id long, own_start long, n_tokens long, ids_crc32 long, ids binary")
-    named = F.when(F.col("doc_id") == -(2**63), F.lit(None)).otherwise(F.col("doc_id"))
-    return decoded.join(places, ["part", "seq"]).select(named.alias("doc_id"), (F.col("before") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return decoded.join(places, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

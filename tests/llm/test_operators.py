@@ -5,6 +5,7 @@ import itertools
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,6 +143,71 @@ def test_language_bundles_are_sums_over_trigrams():
     assert not one[0].any() and not one[5].any() and one[1].any()
 
 
+def plain_prediction(text, profiles):
+    """Trigram by trigram."""
+    marked, after = ["\n"], False
+    for c in text.lower():
+        if c.isalpha() or after:
+            marked.append(c if c.isalpha() else "\n")
+        after = c.isalpha()
+    marked += ["\n"] if after else []
+    points = [ord(c) if c != "\n" else language_id._BOUNDARY for c in marked]
+    kinds = Counter(zip(points, points[1:], points[2:]))
+    d = profiles.prototypes.shape[1]
+    v = {p: language_id._letter_vectors(np.array([p]), d)[0].astype(int) for p in set(points)}
+    total = sum((n * v[a] * np.roll(v[b], 1) * np.roll(v[c], 2) for (a, b, c), n in kinds.items()), np.zeros(d))
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    cosine = profiles.prototypes @ total / np.linalg.norm(total)
+    return profiles.languages[int(cosine.argmax())], float(np.clip(cosine.max(), 0, 1))
+
+
+def test_language_predictions(spark, sf_dir, documents, texts):
+    """The query's rows against a plain loop over whole texts."""
+    docs = documents.withColumn("held_out", language_id.held_out(F.col("doc_id").cast("string")))
+    profiles = language_id.fit_profiles(docs.where("not held_out"))
+    for r in language_id.op2_language_id(spark, sf_dir).collect():
+        text = texts[r["doc_id"]]["text"] or ""
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if len(text) < 5000:
+            name, score = plain_prediction(text, profiles)
+            assert abs(r["score"] - score) < 1e-5 and (r["lang_pred"] == name or score - 1e-5 < r["score"])
+
+
+def test_language_slices_and_pieces(monkeypatch):
+    """Many letters and very long texts: the same sums in slices of trigrams and pieces of text."""
+    r = random.Random(3)
+    wide = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(3000))
+    many = [wide, "a", "", "12", passage(4, 400), "Σας ΑΣ\nx1y  z", wide[:50] + " " + wide[20:90]]
+    whole = language_id.bundle(many, 64)
+    monkeypatch.setattr(language_id, "KINDS_AT_ONCE", 100)
+    assert np.array_equal(language_id.bundle(many, 64), whole)
+    for chars in (1, 2, 7, 100):
+        monkeypatch.setattr(language_id, "CHUNK_CHARS", chars)
+        assert np.array_equal(language_id._bundles(many, 64), whole)
+    monkeypatch.setattr(language_id, "LETTERS_KEPT", 10)
+    assert np.array_equal(language_id.bundle(many, 64), whole)
+
+
+def test_language_small_beside_large(spark):
+    rows = [(i, passage(i, 20), "xx") for i in range(300)] + [(1000 + i, passage(i, 20).translate(str.maketrans("abcdefgh", "stuvwxyz")), "yy") for i in range(3)] + [(2000, "words", "und"), (2001, None, "zz"), (2002, "12", "ww")]
+    profiles = language_id.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=20)
+    assert profiles.languages == ("xx", "yy")
+
+
+def test_language_rejections(spark, edges, empty):
+    rows = [(i, passage(i, 60), "xx") for i in range(60)]
+    profiles = language_id.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    foreign = " ".join("".join(chr(0x410 + (7 * i + j * j) % 32) for j in range(5)) for i in range(60))
+    texts = [None, "", "12 %", "ab", passage(777, 60), foreign, foreign[:50]]
+    assert profiles.resembles(texts).tolist() == [False, False, False, True, True, False, True]
+    nothing = language_id.fit_profiles(empty)
+    assert nothing.resembles(texts).tolist() == [False, False, False, True, True, True, True]
+    left = language_id.keep_known(edges, nothing)
+    assert left.columns == edges.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((i for i, t in EDGES if any(map(str.isalpha, t or ""))), key=str)
+    assert language_id.keep_known(empty, profiles).count() == 0
+
+
 def test_language_edges(edges, empty):
     profiles = language_id.fit_profiles(edges)
     rows = language_id.identify_language(edges, profiles).collect()
@@ -503,8 +569,8 @@ def test_blocks_round_trip():
     for ids in (np.zeros(0), np.array([7]), np.full(300, 5), rng.integers(0, 49_408, 5000), np.where(rng.random(1000) < 0.05, 2**32 - 1, rng.integers(0, 50, 1000)), np.r_[np.arange(128), 2**31]):
         ids = ids.astype(np.int64)
         data = token_files.encode_file(np.array([3, 9]), np.array([len(ids), 0]), ids)
-        doc_ids, counts, back = token_files.decode_file(data)
-        assert doc_ids.tolist() == [3, 9] and counts.tolist() == [len(ids), 0] and back.tolist() == ids.tolist()
+        doc_ids, counts, back, unnamed = token_files.decode_file(data)
+        assert unnamed == 0 and doc_ids.tolist() == [3, 9] and counts.tolist() == [len(ids), 0] and back.tolist() == ids.tolist()
     few = np.where(np.arange(12_800) % 128 == 5, 40_000, 3)
     assert len(token_files.encode_file(np.array([1]), np.array([12_800]), few)) < 100 * (8 + 5 + 4) + 100
 
@@ -521,6 +587,35 @@ def test_encoder_is_the_library(tokenizer, texts):
     assert at == len(ids)
 
 
+def test_other_vocabularies_are_encoded_whole(tokenizer, texts):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, _ = tokenizer
+    assert token_files.Encoder(path).by_word
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = token_files.Encoder(other), Tokenizer.from_file(other)
+    assert not encoder.by_word
+    many = ["", "a b  c\n d", "It's"] + [r["text"] or "" for r in texts.values()][:30]
+    ids, counts = encoder.encode([t.encode() for t in many], 2)
+    assert ids.tolist() == [x for t in many for x in [*whole.encode(t, add_special_tokens=False).ids, 2]] and len(counts) == len(many)
+    rules = json.load(open(path, encoding="utf-8"))
+    assert token_files.splits_at_space(rules)
+    for wrong in ({"pre_tokenizer": None}, {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"truncation": {"max_length": 4}}):
+        assert not token_files.splits_at_space(rules | wrong)
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r" ?\p{L}+|\S"
+    assert not token_files.splits_at_space(rules)
+
+
+def test_token_files_smallest_id(spark, tokenizer, tmp_path):
+    path, _ = tokenizer
+    token_files.write_token_files(docs_of(spark, [(-(2**63), "a"), (None, "b"), (0, "c")]), path, str(tmp_path / "s"))
+    rows = sorted(token_files.read_token_files(spark, str(tmp_path / "s")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, -(2**63), 0]
+
+
 def test_token_files(spark, documents, texts, tokenizer, tmp_path):
     path, whole = tokenizer
     token_files.write_token_files(documents, path, str(tmp_path / "t"), bytes_per_file=20_000)

@@ -2,10 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stepweave.llm import decontaminate, language_id, ngram_join, queries
-from tests.llm.test_operators import brute_lines, check_bins
+from tests.llm.test_operators import EDGES, brute_lines, check_bins, passage, plain_prediction
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +30,10 @@ def test_columns_stay(stages):
 def test_stages(spark, sf_dir, stages):
     rows = [{r["doc_id"]: r for r in t.collect()} for t in stages[:-1]]
     documents, language, lines, near, clean = rows
-    assert set(language) == {i for i, r in documents.items() if any(c.isalpha() for c in r["text"] or "")}
+    profiles = language_id.fit_profiles(stages[0])
+    floor = language_id.SIGMAS / language_id.DIMENSIONS**0.5
+    letters = {i: sum(map(str.isalpha, r["text"] or "")) for i, r in documents.items()}
+    assert set(language) == {i for i, r in documents.items() if letters[i] and (letters[i] < 100 or plain_prediction(r["text"], profiles)[1] >= floor)}
     want = brute_lines([(i, r["text"], r["source"]) for i, r in language.items()], 10)
     assert {i: r["text"] for i, r in lines.items()} == {i: t for i, (_, _, t) in want.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values() if want[r["doc_id"]][1])
@@ -39,6 +43,8 @@ def test_stages(spark, sf_dir, stages):
     gone = set(near) - set(clean)
     found = {r["doc_id"] for r in decontaminate.contaminated(stages[3], spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert gone == found
+    short = [(i, r["text"]) for i, r in near.items() if len(r["text"] or "") < 800]
+    assert {i for i, _ in decontaminate.brute_force(short, items)} == gone & {i for i, _ in short}
     packed = stages[5].collect()
     check_bins(packed, {i: r["source"] for i, r in clean.items()}, 2048)
     assert {r["doc_id"] for r in packed} == set(clean)
@@ -78,12 +84,40 @@ def test_query(spark, sf_dir, name):
         assert sorted(map(tuple, rows)) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_rejected_documents(spark, sf_dir):
-    docs = spark.createDataFrame([(1, None, "en", "a", 0), (2, "12 34", "en", "a", 5), (3, "words", None, "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, None, "en", "a", 0), (2, "12 34", "en", "a", 5), (3, "words", None, "a", 5)], SCHEMA)
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)), sf_dir).where("doc_id <= 3 and n_chars <= 5").collect()] == [3]
     assert language_id.UNKNOWN == "und"
 
 
+@pytest.mark.parametrize("label", [None, "und"])
+def test_documents_without_labels_stay(spark, sf_dir, label):
+    docs = spark.createDataFrame([(i, passage(i, 60), label, "a", 1) for i in range(20)] + [(20, "3", label, "a", 1)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()) == list(range(20))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, and columns with the names that operators use inside."""
+    extra = ("its_id", "its_key", "again_id", "again_key", "gone", "__gone", "__text", "__id", "h1", "h2", "key", "score", "lang_pred", "n_lines", "class_id", "bucket", "block", "place")
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(EDGES)], SCHEMA)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in extra})
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    every = sorted((i for i, _ in EDGES), key=str)
+    lettered = sorted((i for i, t in EDGES if any(map(str.isalpha, t or ""))), key=str)
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:4], (lettered, every, sorted([1, 2, 3, 4, 5, 7, 8, 10], key=str), every)):
+        out = stage(spark, docs, sf_dir)
+        if name == "lines":
+            assert set(out.columns) == set(docs.columns)
+        else:
+            assert out.columns == docs.columns
+        assert ids(out) == want, name
+        assert all(r["score"] == f"score {'none' if r['doc_id'] is None else r['doc_id']}" and r["__gone"].startswith("__gone ") for r in out.collect())
+    assert set(ids(corpus_pipeline.packing(spark, docs, sf_dir))) == set(every)
+
+
 def test_empty_input(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
