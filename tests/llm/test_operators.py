@@ -729,12 +729,12 @@ def test_large_components(spark, monkeypatch, classes):
 def test_chains_are_verified_by_band(spark, monkeypatch):
     """A unit of a chain holds what meets in a band; a pair is compared once."""
     monkeypatch.setattr(ngram_join, "UNIT_CLASSES", 7)
-    rows = chain(100)
+    rows = chain(400)
     bands, n = ngram_join.choose_bands()
     signed = ngram_join._signatures(docs_of(spark, rows), 5, bands, n)
     classes = signed.groupBy("key").agg(ngram_join._first(), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     units = ngram_join._units(classes, classes.select("key", F.lit(b"root").alias("root"))).collect()
-    assert all(r["j"] >= 0 for r in units) and len(units) < 100 * 100 / 7
+    assert all(r["j"] >= 0 for r in units) and len(units) < 400 * 400 / 7
     meet = [b for b in {(r["key"], tuple(r["bands"])) for r in units}]
     pairs = sum(len(ngram_join._shared(np.array([b for _, b in meet]), np.zeros(len(meet)), False, j)[0]) for j in range(bands))
     assert pairs == len(ngram_join._shared(np.array([b for _, b in meet]), np.zeros(len(meet)), False)[0]) > 0
