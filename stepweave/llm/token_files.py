@@ -20,9 +20,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,65 +147,109 @@ def splits_at_space(rules: dict) -> bool:
     return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", ())) and not rules.get("truncation") and not rules.get("padding")
 
 
+def _distinct(chunk: _words.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word stands first, and which one each word is; told apart by hash, and then byte by byte."""
+    _, first, kind = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
+    size, own = chunk.end - chunk.start, first[kind]
+    if (size == size[own]).all():
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if (chunk.data[np.repeat(chunk.start, size) + step] == chunk.data[np.repeat(chunk.start[own], size) + step]).all():
+            return first, kind
+    joined, place = chunk.data.tobytes(), {}
+    kind = np.array([place.setdefault(joined[a:b], len(place)) for a, b in zip(chunk.start.tolist(), chunk.end.tolist())], np.int64)
+    return np.unique(kind, return_index=True)[1], kind
+
+
+class _Kept(dict):
+    """Ids of words or parts of words, each found once; two generations, so that rare ones go."""
+
+    def __init__(self, make: Callable[[bytes | str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: bytes | str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= 64:
+            self[text] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts by a public tokenizer, the same as encoding each text whole.
 
-    All ids come from the library. Where the vocabulary file's rules drop white
-    space and never join what it parts, each distinct word of a chunk of texts
-    is encoded once and its ids are kept while there is room; with any other
-    vocabulary texts are encoded whole.
+    Where the vocabulary file's rules drop white space and never join what it
+    parts, a text's ids are those of its words: each is parted by the pattern in
+    the file and the library's model and byte letters give the ids of its parts;
+    both are kept while there is room. Words beyond Latin-1, with control
+    characters or with a special token go through the library's whole path, and
+    with any other vocabulary all texts do.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
-        # Two generations, so that rare words go.
-        self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        known, old = self.words, self.old
-        found = [known.get(w) or old.get(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            for i, ids in zip(missing, self._library([words[i] for i in missing])):
-                found[i] = ids
-        for w, ids in zip(words, found):
-            if len(w) <= 64:
-                known[w] = ids
-        if len(known) > CACHED_WORDS:
-            self.words, self.old = {}, known
-        return found
+            rules = json.load(f)
+        self.by_word = splits_at_space(rules)
+        if self.by_word:
+            first, *others = _steps(rules["pre_tokenizer"], "pretokenizers")
+            self.parted = regex.compile(first["pattern"]["Regex"]).findall
+            self.lower = any(x["type"] == "Lowercase" for x in _steps(rules.get("normalizer"), "normalizers"))
+            shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            #: The letters that stand for the bytes of each letter of Latin-1.
+            self.letters = {c: "".join([x for x, _ in shown(chr(c))]) for c in range(256)} if others else {}
+            self.special = [t["content"] for t in rules.get("added_tokens", ())]
+            #: Control characters, on whose class libraries differ.
+            self.odd = regex.compile(r"[^\x00-\xff]|[\x00-\x08\x0e-\x1f\x7f-\xa0]").search
+            #: Whether the pattern takes letters in a row as one part.
+            self.runs = all(self.parted(x * n) == [x * n] for x in ("a", "Zq", "é", "aß") for n in (1, 2, 9, 100))
+        self.parts = _Kept(self._part)
+        self.words = _Kept(self._word)
+
+    def _part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if self.runs and word.isalpha() and (raw.isascii() or max(word) <= "\xff"):
+            return self.parts[word.lower() if self.lower else word]
+        if self.odd(word) or any(x in word for x in self.special):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.parts
+        return b"".join([parts[x] for x in self.parted(word.lower() if self.lower else word)])
 
     def encode(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, each closed by end_id, and how many each has."""
-        if not self.by_word:
-            each = [np.r_[np.frombuffer(ids, "<u4"), np.uint32(end_id)] for ids in self._library(raw)]
-            return np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(x) for x in each], np.int64)
-        chunk = _words.Chunk(raw)
-        joined = chunk.data.tobytes()
-        words = [joined[a:b] for a, b in zip(chunk.start.tolist(), chunk.end.tolist())]
-        kinds: dict[bytes, int] = defaultdict(count().__next__)
-        kind = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
-        found = self._ids(list(kinds))
-        # After the words' ids comes the end id.
-        order = np.insert(kind, chunk.first[1:], len(found)) if len(raw) else kind
-        found.append(struct.pack("<I", end_id))
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        begin = np.cumsum(size) - size
-        n = size[order]
-        stop = np.cumsum(n)
-        ids = flat[np.arange(int(n.sum())) + np.repeat(begin[order] - (stop - n), n)]
-        ends = stop[np.flatnonzero(order == len(found) - 1)]
-        return ids, np.diff(np.r_[0, ends])
+        if self.by_word:
+            chunk = _words.Chunk(raw)
+            joined, words = chunk.data.tobytes(), self.words
+            first, kind = _distinct(chunk)
+            found = [words[joined[a:b]] for a, b in zip(chunk.start[first].tolist(), chunk.end[first].tolist())]
+            flat = np.frombuffer(b"".join(found), "<u4")
+            size = np.array([len(x) // 4 for x in found], np.int64)
+            begin = np.cumsum(size) - size
+            n = size[kind]
+            stop = np.r_[0, np.cumsum(n)]
+            ids = flat[np.arange(int(stop[-1])) + np.repeat(begin[kind] - stop[:-1], n)]
+            ends = stop[chunk.first]
+            self.parts.trim()
+            self.words.trim()
+        else:
+            found = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast([x.decode() for x in raw], add_special_tokens=False)]
+            ends = np.cumsum([0] + [len(x) for x in found])
+            ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
 _encoders: dict[str, Encoder] = {}

@@ -587,6 +587,14 @@ def test_encoder_is_the_library(tokenizer, texts):
     assert at == len(ids)
 
 
+def test_encoder_with_weak_hashes(tokenizer, monkeypatch):
+    path, whole = tokenizer
+    monkeypatch.setattr(token_files._words, "mix", lambda x: x.astype(np.uint64) % np.uint64(2))
+    many = ["ab cd  ef ab", "gh cd", ""]
+    ids, counts = token_files.Encoder(path).encode([t.encode() for t in many], 2)
+    assert ids.tolist() == [x for t in many for x in [*whole.encode(t, add_special_tokens=False).ids, 2]] and counts.sum() == len(ids)
+
+
 def test_other_vocabularies_are_encoded_whole(tokenizer, texts):
     import json
 
