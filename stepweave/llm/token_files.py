@@ -152,8 +152,10 @@ def _distinct(chunk: _words.Chunk) -> tuple[np.ndarray, np.ndarray]:
     _, first, kind = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
     size, own = chunk.end - chunk.start, first[kind]
     if (size == size[own]).all():
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        if (chunk.data[np.repeat(chunk.start, size) + step] == chunk.data[np.repeat(chunk.start[own], size) + step]).all():
+        later = np.flatnonzero(own != np.arange(len(own)))
+        n = size[later]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (chunk.data[np.repeat(chunk.start[later], n) + step] == chunk.data[np.repeat(chunk.start[own[later]], n) + step]).all():
             return first, kind
     joined, place = chunk.data.tobytes(), {}
     kind = np.array([place.setdefault(joined[a:b], len(place)) for a, b in zip(chunk.start.tolist(), chunk.end.tolist())], np.int64)
