@@ -69,6 +69,9 @@ def run(
     hll_input: sketches hash a tuple's "text", items joined by commas, or its
     "encoded" form with a type for each item.
     plan: "matcher" keeps the general plan where another would do.
+
+    Results are computed when they are asked for. Functions with hooks stay open
+    until ``result.close()``, or use ``with run(...) as result``.
     """
     program = as_program(program)
     sources = [sources] if isinstance(sources, EventSource) else list(sources)
@@ -83,10 +86,14 @@ def run(
     if hll_input not in ("text", "encoded"):
         raise ValueError(f"No such input of sketches: {hll_input}")
     encoded = hll_input == "encoded" and "hll" in program.results.values()
-    with functions.around():
+    functions.open()
+    try:
         events, fields, distinct = prepare(program, sources, event_filter, windows, excludes, drop_overlap)
         tuples = make_tuples(events.sparkSession, program, sources, params)
         if not encoded and (plan or plan_of(program)) == "stateless":
             kept = events if distinct else filters.without_repeats(events, fields)
-            return Result(program, tuples, stateless.match(kept, program, params, tuples, fields))
-        return Result(program, tuples, matching.match(events, program, params, tuples, dict(functions), fields, distinct, eager_outer_expiry, encoded))
+            return Result(program, tuples, stateless.match(kept, program, params, tuples, fields), functions.close)
+        return Result(program, tuples, matching.match(events, program, params, tuples, dict(functions), fields, distinct, eager_outer_expiry, encoded), functions.close)
+    except BaseException:
+        functions.close()
+        raise

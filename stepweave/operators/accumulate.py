@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -36,6 +37,14 @@ class Result:
     program: Program
     tuples: Tuples | None
     partial: DataFrame
+    #: What is to be done after the last action, such as the functions' ``finalize``.
+    close: Callable[[], None] = lambda: None
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @property
     def per_tuple(self) -> bool:

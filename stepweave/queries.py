@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from .operators.accumulate import Result
 from .sinks.histories import extract_histories
 from .sinks.json_sink import json_rows
 from .sources.events import EventSource, lexicon
+from .sources.side import read_excludes, read_windows
 
 _SECONDS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({} AS TIMESTAMP_NTZ)) div 1000000"
 DAY = 86400
@@ -624,3 +627,182 @@ def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("q42_json", _sql("SELECT '{\"$n\":' || count(ev.id) || ',\"%t\":\"' || t || '\"}' AS json FROM (VALUES ('click'), ('view'), ('nosuch')) v(t) LEFT JOIN ev ON type = t GROUP BY t"))
 def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(engine.run(FOREACH, events(spark, sf_dir), {"@types": [["click"], ["view"], ["nosuch"]]}))
+
+
+AT = """
+start ->
+    receive
+        timestamp = "{}" -> yield $at
+        * -> yield $others
+"""
+
+
+@_query("q43_timestamp_equals", _sql("SELECT count(*) FILTER (ts = t) AS at, count(*) FILTER (ts <> t) AS others FROM ev, (SELECT max(ts) AS t FROM ev)"))
+def q43(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events at the last second of all."""
+    source = events(spark, sf_dir)
+    last = source.rows(0, []).agg(F.max("_ts")).first()[0]
+    return counters(engine.run(AT.format(last), source))
+
+
+#: A timeout with yields only goes to the first block, with the same event.
+PLAIN_AFTER = """
+start ->
+    receive
+        type = "view" -> wait
+        * -> yield $others
+wait ->
+    receive
+        * -> repeat
+    after 6h -> yield $lapsed
+"""
+
+#: One late event can run through several timeouts; a block entered by one starts when it was due.
+CASCADE = """
+start ->
+    receive
+        type = "click" -> one
+        * -> repeat
+one ->
+    receive
+        type = "purchase" -> yield $soon, start
+        * -> repeat
+    after 2h -> yield $first, two
+two ->
+    receive
+        type = "purchase" -> yield $late, start
+        * -> repeat
+    after 30h -> yield $second, start
+"""
+
+#: The first block's own timeout runs only once the block has been entered by a move.
+IDLE = """
+start ->
+    receive
+        type = "click" -> yield $n, start
+        * -> repeat
+    after 4h -> yield $idle, start
+"""
+
+FIRST_OF_EACH = """
+foreach %t in @types
+    start ->
+        receive
+            type = %t -> yield $users, yield cookie,timestamp to #first, quit
+            * -> repeat
+"""
+
+_LIVE = "st = 1 AND ex > e.ts"
+#: What timeouts have made of the state before the event is looked at.
+_CASCADED = "CASE WHEN st = 1 AND ex <= e.ts AND ex + 108000 > e.ts THEN 2 WHEN st > 0 AND ex + CASE st WHEN 1 THEN 108000 ELSE 0 END <= e.ts THEN 0 ELSE st END"
+_TIMES = "CASE WHEN st = 1 AND ex <= e.ts THEN (e.ts - ex) // 14400 + 1 ELSE 0 END"
+
+QUERIES |= {
+    "q44_plain_after": _of(PLAIN_AFTER),
+    "q45_cascade": _of(CASCADE),
+    "q46_entry_timeout": _of(IDLE),
+    "q47_quit_of_one_tuple": _of(FIRST_OF_EACH, lambda r: by_tuple(r, "#first"), params={"@types": [["click"], ["view"], ["nosuch"]]}),
+}
+ORACLE_SQL |= {
+    "q44_plain_after": _machine_sql(
+        f"""
+  CASE WHEN {_LIVE} THEN 1 WHEN type = 'view' THEN 1 ELSE 0 END,
+  CASE WHEN {_LIVE} THEN ex WHEN type = 'view' THEN e.ts + 21600 ELSE 0 END,
+  n + CASE WHEN st = 1 AND ex <= e.ts THEN 1 ELSE 0 END,
+  o + CASE WHEN NOT ({_LIVE}) AND type <> 'view' THEN 1 ELSE 0 END""",
+        "CAST(sum(n + st) AS BIGINT) AS lapsed, CAST(sum(o) AS BIGINT) AS others",
+        _STATE + ", CAST(0 AS BIGINT) AS o",
+        "FROM last",
+    ),
+    "q45_cascade": _machine_sql(
+        f"""
+  CASE {_CASCADED} WHEN 0 THEN CASE WHEN type = 'click' THEN 1 ELSE 0 END ELSE CASE WHEN type = 'purchase' THEN 0 ELSE {_CASCADED} END END,
+  CASE WHEN {_CASCADED} = 0 THEN CASE WHEN type = 'click' THEN e.ts + 7200 ELSE 0 END WHEN st = 1 AND {_CASCADED} = 2 THEN ex + 108000 ELSE ex END,
+  n + CASE WHEN {_CASCADED} = 1 AND type = 'purchase' THEN 1 ELSE 0 END,
+  f + CASE WHEN st = 1 AND {_CASCADED} <> 1 THEN 1 ELSE 0 END,
+  l + CASE WHEN {_CASCADED} = 2 AND type = 'purchase' THEN 1 ELSE 0 END,
+  s + CASE WHEN st > 0 AND {_CASCADED} = 0 THEN 1 ELSE 0 END""",
+        "CAST(sum(n) AS BIGINT) AS soon, CAST(sum(f + CASE st WHEN 1 THEN 1 ELSE 0 END) AS BIGINT) AS first, CAST(sum(l) AS BIGINT) AS late, CAST(sum(s + CASE st WHEN 2 THEN 1 ELSE 0 END) AS BIGINT) AS second",
+        _STATE + ", CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS l, CAST(0 AS BIGINT) AS s",
+        "FROM last",
+    ),
+    "q46_entry_timeout": _machine_sql(
+        f"""
+  CASE WHEN type = 'click' THEN 1 ELSE st END,
+  CASE WHEN type = 'click' THEN e.ts + 14400 ELSE ex + 14400 * {_TIMES} END,
+  n + CASE WHEN type = 'click' THEN 1 ELSE 0 END,
+  i + {_TIMES}""",
+        "CAST(sum(n) AS BIGINT) AS n, CAST(sum(i + st) AS BIGINT) AS idle",
+        _STATE + ", CAST(0 AS BIGINT) AS i",
+        "FROM last",
+    ),
+    "q47_quit_of_one_tuple": _sql("SELECT type AS t, id || '|' || min(ts) AS value, CAST(1 AS BIGINT) AS n FROM ev WHERE type IN ('click', 'view') GROUP BY type, id"),
+}
+
+OBJECT = """
+-- a comment, and a program with all kinds of results
+start ->
+    receive
+        type = "click" -> \\
+            yield $clicks, \\
+            yield k to #ks, \\
+            yield type,k to &pairs
+        * -> repeat -- another
+"""
+
+
+@_query(
+    "q48_json_object",
+    _sql(
+        """SELECT '{"$clicks":' || (SELECT count(*) FROM c) || ',"#ks":[' || (SELECT string_agg('"' || k || '"', ',' ORDER BY k) FROM (SELECT DISTINCT k FROM c)) || '],"&pairs":{' ||
+        (SELECT string_agg('"click,' || k || '":' || n, ',' ORDER BY 'click,' || k) FROM (SELECT k, count(*) AS n FROM c GROUP BY k)) || '}}' AS json""",
+        "c AS (SELECT k FROM ev WHERE type = 'click')",
+    ),
+)
+def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_rows(engine.run(OBJECT, events(spark, sf_dir)))
+
+
+def _hex_events(spark: SparkSession, sf_dir: str) -> EventSource:
+    """Users by the hex form of their ids, as in side files."""
+    e = events(spark, sf_dir)
+    return EventSource(e.df, F.rpad(F.lower(F.hex(F.col("user_id").cast("string"))), 32, "0"), e.ts, e.fields, e.order, True)
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """CSV lines without a head in the shared folder; a temporary one only where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stepweave-')}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.csv(path)
+    return path
+
+
+_HEX = "rpad(lower(hex(CAST({} AS VARCHAR))), 32, '0')"
+
+
+@_query("q49_window_file", _sql(f"SELECT '&seen' AS var, {_HEX.format('id')} || '|' || low || '|' || high AS value, count(*) AS n FROM ev JOIN w USING (id) WHERE type = 'click' AND ts >= low AND ts < high GROUP BY id, low, high", _WINDOWS_SQL))
+def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows read from a file."""
+    w = _windows(spark, sf_dir)
+    path = _written(spark, w.withColumn("_id", F.rpad(F.hex("_id"), 32, "0")), "windows")
+    return values(engine.run(BOUNDS, _hex_events(spark, sf_dir), windows=read_windows(spark, path)))
+
+
+@_query("q50_exclude_file", ORACLE_SQL["q29_excludes"])
+def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excluded histories read from a file."""
+    out = _users(spark, sf_dir, "event_type = 'error' and get_json_object(props, '$.k') = '13'")
+    path = _written(spark, out.select(F.rpad(F.lower(F.hex("_id")), 32, "0").alias("_id")), "excludes")
+    return counters(engine.run(BY_TYPE, _hex_events(spark, sf_dir), excludes=read_excludes(spark, path)))
+
+
+@_query("q51_dump_and_load", ORACLE_SQL["q15_skip_repeats"])
+def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories written as a table of rows and read back as a source."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stepweave-')}"
+    path = f"{folder.rstrip('/')}/histories-{uuid.uuid4().hex}"
+    source = events(spark, sf_dir)
+    rows = source.rows(0, ["type", "k"])
+    rows.select(F.col("_id").alias("id"), F.col("_ts").alias("ts"), F.to_json(F.struct(F.col("_seq.k0").cast("string").alias("at"), F.col("_seq.k1").alias("event"))).alias("seq"), "type", "k").write.json(path)
+    back = spark.read.schema("id string, ts long, seq string, type string, k string").json(path)
+    return counters(engine.run(SKIP, EventSource(back, "id", "ts", {"type": "type", "k": "k"}, (F.get_json_object("seq", "$.at").cast("timestamp_ntz"), F.get_json_object("seq", "$.event").cast("long")), True)))

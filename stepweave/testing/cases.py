@@ -23,7 +23,7 @@ def embedded_cases(text: str) -> dict:
     m = _HEAD.search(text)
     if not m:
         return {"tests": []}
-    body = "\n".join(re.sub(r"^--", "", line) for line in text[m.end() :].split("\n"))
+    body = "\n".join(re.sub(r"^-{2,}", "", line) for line in text[m.end() :].split("\n"))
     return json.loads(re.sub(r"-+\s*$", "", body))
 
 

@@ -165,8 +165,21 @@ def test_missing_values_are_reported(spark):
 def test_hooks_run_around(spark):
     seen = []
     calls = Functions({"f": lambda a: a + "!"}, lambda: seen.append("in"), lambda: seen.append("out"))
-    got = as_json(run("a ->\n    receive\n        * -> yield f(k) to &s", histories_from_json(spark, trails([(0, "x", "1")])), functions=calls))
-    assert got == {"&s": {"1!": 1}} and seen == ["in", "out"]
+    program, source = "a ->\n    receive\n        * -> yield f(k) to &s", histories_from_json(spark, trails([(0, "x", "1")]))
+    with run(program, source, functions=calls) as result:
+        assert seen == ["in"]
+        assert as_json(result) == {"&s": {"1!": 1}} and seen == ["in"]
+    assert seen == ["in", "out"]
+    result.close()
+    assert seen == ["in", "out"]
+    with calls.around():  # open for several runs
+        for _ in range(2):
+            assert as_json(run(program, source, functions=calls)) == {"&s": {"1!": 1}}
+        assert seen == ["in", "out", "in"]
+    assert seen == ["in", "out", "in", "out"]
+    with pytest.raises(ValueError):
+        run(program + ", yield g(k) to &s", source, functions=calls)
+    assert seen == ["in", "out"] * 2
 
 
 def test_sketch_registers(spark):
