@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Beyond that, keys with more than this part of the other side's rows are; there can't be more such keys than parts.
 PARTS = 10_000
+#: Of the rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of BATCH_BYTES (a longer row alone), if the session has Spark's own bound: it is what a worker and its executor hold beside their work."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def require(df: DataFrame, *columns: str) -> None:
+    bound_batches(df.sparkSession)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}; there are {', '.join(df.columns)}")

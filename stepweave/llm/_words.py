@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that become Python objects at a time.
+ROWS_AT_ONCE = 2048
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -108,7 +110,7 @@ def window_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 def rows_in_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[dict[str, list], list[bytes]]]:
     """Rows of the batches, regrouped so that the UTF-8 of a group's texts stays near the limit; null texts are empty."""
-    for batch in batches:
+    for batch in (b.slice(low, ROWS_AT_ONCE) for b in batches for low in range(0, b.num_rows, ROWS_AT_ONCE)):
         columns = [c for c in batch.schema.names if c != text]
         raw = [b"" if x is None else x for x in batch.column(text).cast(pa.binary()).to_pylist()]
         others = {c: batch.column(c).to_pylist() for c in columns}

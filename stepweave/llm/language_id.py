@@ -28,9 +28,12 @@ SEED = 20240607
 TRAIN_ROWS = 5_000
 MAX_LANGUAGES = 1024
 CHUNK_CHARS = 400_000
-#: Distinct trigrams that are bound at a time, and letters whose vectors are kept.
-KINDS_AT_ONCE = 8192
+#: Distinct trigrams that are bound at a time, counts that are held at a time, and letters whose vectors are kept.
+KINDS_AT_ONCE = 4096
+COUNTS_AT_ONCE = 1 << 20
 LETTERS_KEPT = 20_000
+#: Rows of an Arrow batch that are bundled at a time.
+ROWS_AT_ONCE = 1024
 UNKNOWN = "und"
 #: A text of so many letters whose cosine is within so many standard deviations of a random one resembles no language.
 LEAST_LETTERS = 100
@@ -99,7 +102,7 @@ def _bundled(symbols: np.ndarray, owner: np.ndarray, n: int, dimensions: int) ->
         else:
             here = (trigram >= begin) & (trigram < begin + len(own))
             who, which = owner[here], trigram[here] - begin
-        step = max(1, (1 << 22) // len(own))
+        step = max(1, COUNTS_AT_ONCE // len(own))
         cuts = np.searchsorted(who, np.arange(0, n + step, step))
         for b, low in enumerate(range(0, n, step)):
             rows = min(step, n - low)
@@ -165,6 +168,12 @@ def _bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros((0, dimensions), np.float32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(low, ROWS_AT_ONCE)
+
+
 @dataclass(frozen=True)
 class Profiles:
     languages: tuple[str, ...]
@@ -221,9 +230,9 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimens
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            vectors = _bundles(texts, dimensions) if texts else np.zeros((0, dimensions))
+            vectors = _bundles(texts, dimensions)
             vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
             for name in set(langs):
                 total[name] = total.get(name, 0) + np.rint(vectors[langs == name] * _SCALE).astype(np.int64).sum(axis=0)
@@ -250,7 +259,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", o
     source = docs.select(*kept, F.col(text).alias(_base.fresh(docs, "its_text")))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, score = profiles.predict(batch.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
@@ -270,7 +279,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", least_le
     place = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array(profiles.resembles(batch.column(place).to_pylist(), least_letters, sigmas), pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -236,7 +236,8 @@ def _verified(docs: DataFrame, units: DataFrame, n: int, threshold: float) -> Da
         current, held = None, []
         for batch in batches:
             text = batch.schema.get_field_index("text")
-            for r in batch.set_column(text, "text", batch.column(text).cast(pa.binary())).to_pylist():
+            raw = batch.set_column(text, "text", batch.column(text).cast(pa.binary()))
+            for r in (r for low in range(0, raw.num_rows, _words.ROWS_AT_ONCE) for r in raw.slice(low, _words.ROWS_AT_ONCE).to_pylist()):
                 its = tuple(r[c] for c in unit)
                 if its != current:
                     if held:
