@@ -243,17 +243,27 @@ def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text
     else:
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = there.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"]).drop("salt")
-    columns = ["place", "doc_id", "h1", "h2", "item", "item_id", "passage"]
-    width = 2 * overlap - 1
+    return verified(met, ["place", "doc_id", "h1", "h2", "item", "item_id", "passage"], 2 * overlap - 1, identity)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, width)
-            equal = verify(matrix("item_tokens"), matrix("tokens"), batch.column("passage").to_numpy(zero_copy_only=False), identity)
-            good = pa.array(np.flatnonzero(equal))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(good) for c in columns), pa.array(equal[equal > 0])], names=[*columns, "equal"])
 
-    return met.select(*columns, "item_tokens", "tokens").mapInArrow(check, met.select(*columns).schema.add("equal", "long"))
+def verified(met: DataFrame, columns: list[str], width: int, identity: float) -> DataFrame:
+    """The columns and ``equal`` of the rows for which ``verify`` gives more than 0, in the JVM: a second Python worker for each task would double the memory.
+
+    A character tells of each token whether it is equal (1), another (0) or
+    outside of a text (x); passages are cut from these. Both steps are generated
+    rows, since the optimizer would copy plain columns into every use of them.
+    """
+    outside = {name: F.lit(value.to_bytes(8, "little")) for name, value in _OUTSIDE.items()}
+    here = lambda c, i: F.substring(c, 8 * i + 1, 8)
+    marks = [F.when(here("item_tokens", i) == here("tokens", i), "1").when((here("item_tokens", i) == outside["item"]) | (here("tokens", i) == outside["document"]), "x").otherwise("0") for i in range(width)]
+    marked = met.select(*columns, F.explode(F.array(F.concat(*marks))).alias("marks"))
+    best = []
+    for i in range(width):
+        run = F.substring("marks", F.lit(i + 1), F.col("passage").cast("int"))
+        fits = (F.col("passage") <= width - i) & (F.instr(run, "x") == 0)
+        best.append(F.when(fits, F.length(F.replace(run, F.lit("0"), F.lit("")))).otherwise(0))
+    most = (F.greatest(*best) if width > 1 else best[0]).cast("long")
+    return marked.select(*columns, F.explode(F.array(most)).alias("equal")).where((F.col("equal") > 0) & (F.col("equal") >= F.lit(float(identity)) * F.col("passage")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] | None = None, overlap: int = OVERLAP, identity: float = IDENTITY) -> DataFrame:

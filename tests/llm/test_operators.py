@@ -915,3 +915,21 @@ def test_media_of_texts(spark, edges, empty):
         assert payload.startswith(dict(EDGES)[r["doc_id"]].encode() if dict(EDGES)[r["doc_id"]] else b"")
         assert len(payload) % 192 == 0 and len(payload) >= 192 and not payload[r["n_bytes"] :].strip(b" ")
     assert media.media_of_texts(empty).count() == 0
+
+
+def test_verification_in_the_jvm_is_that_of_arrays(spark):
+    """Equal, other and outside tokens in any place, for all lengths of passages."""
+    for width, identity in ((25, 0.8), (25, 0.0), (9, 1.0), (1, 0.5)):
+        random = np.random.default_rng(width)
+        item = random.integers(0, 3, (400, width)).astype(np.uint64) << np.uint64(40) | np.uint64(2)
+        document = np.where(random.random((400, width)) < 0.85, item, item ^ np.uint64(4))
+        place = np.arange(width)
+        item[place < random.integers(-width, width, 400)[:, None]] = 0
+        document[place >= random.integers(0, 3 * width, 400)[:, None]] = 1
+        passage = random.integers(1, (width + 1) // 2 + 1, 400)
+        want = decontaminate.verify(item, document, passage, identity)
+        rows = [(i, item[i].tobytes(), document[i].tobytes(), int(passage[i])) for i in range(400)]
+        met = spark.createDataFrame(rows, "place long, item_tokens binary, tokens binary, passage long")
+        found = {r["place"]: r["equal"] for r in decontaminate.verified(met, ["place", "passage"], width, identity).collect()}
+        assert found == {i: int(n) for i, n in enumerate(want) if n > 0}
+        assert found
