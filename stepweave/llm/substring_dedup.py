@@ -11,7 +11,7 @@ the whole window; light cells are put together. So each subtree fits in memory,
 however frequent a word is.
 
 A subtree holds the words themselves. It numbers its distinct words in order,
-sorts its windows word by word and takes the longest common prefix of
+sorts its windows by these numbers and takes the longest common prefix of
 neighbours: runs of 13 words in common are the internal nodes of that depth, and
 what lies below one and isn't of its smallest document is a repeat. Hashes only
 choose anchors and subtrees; equality is that of words.
@@ -24,12 +24,12 @@ reaches its subtree once for each task, and the known repeats are dealt evenly.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ CELLS = 1 << 13
 CHUNK_BYTES = 4 << 20
 #: Repeated passages that a task remembers from chunk to chunk.
 REMEMBERED = 50_000
+#: Words of a subtree that are numbered together.
+CODED_AT_ONCE = 16 << 20
 
 _LEAVES = "tree int, known boolean, numbers binary, words binary"
 _RANGES = "bucket long, numbers binary"
@@ -242,25 +244,85 @@ def _sent_before(texts: list[bytes], who: list[int], remembered: dict[bytes, int
     return again, known
 
 
+def _in_order(codes: np.ndarray, at: np.ndarray, ids: np.ndarray, window: int, bits: int) -> np.ndarray:
+    """The order of the windows at these places by their words, then by document.
+
+    As many words as 64 bits hold are compared at once; windows that differ by
+    then are settled, and only runs of equal ones are sorted by the words after.
+    """
+
+    def packed(places: np.ndarray, start: np.ndarray, k: int, n: int) -> np.ndarray:
+        key = start
+        for j in range(k, k + n):
+            key = key << np.uint64(bits) | codes[places + j]
+        return key
+
+    k = min(window, 64 // bits)
+    key = packed(at, np.zeros(len(at), np.uint64), 0, k)
+    order = np.argsort(key)
+    key = key[order]
+    same = np.zeros(len(at), bool)
+    same[1:] = key[1:] == key[:-1]
+    while True:
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        if not len(tied):
+            return order
+        rows, again = order[tied], same[tied]
+        group = np.cumsum(~again).astype(np.uint64)
+        if k == window:
+            order[tied] = rows[np.lexsort((ids[rows], group))]
+            return order
+        n = min(window - k, (64 - int(group[-1]).bit_length()) // bits)
+        if n:
+            key = packed(at[rows], group, k, n)
+            into = np.argsort(key)
+        else:  # so many windows and words that a run and a word take more than 64 bits
+            n = 1
+            key = codes[at[rows] + k]
+            into = np.lexsort((key, group))
+        order[tied] = rows[into]
+        key = key[into]
+        again[1:] &= key[1:] == key[:-1]
+        same[tied] = again
+        k += n
+
+
 class Subtree:
     """The windows of leaves in the order of their words, and the words that each has in common with the one before."""
 
     def __init__(self, window: int):
         self.window = window
-        self.vocabulary: dict[bytes, int] = defaultdict(count().__next__)
         self.numbers: list[np.ndarray] = []
-        self.codes: list[np.ndarray] = []
+        self.codes: list[pa.DictionaryArray] = []
+        self.waiting: list[bytes] = []
+        self.size = 0
 
     def add(self, numbers: bytes, words: bytes) -> None:
-        found = zstandard.ZstdDecompressor().decompress(words).split()
         self.numbers.append(_from_numbers(numbers))
-        self.codes.append(np.fromiter(map(self.vocabulary.__getitem__, found), np.uint32, len(found)))
+        self.waiting.append(zstandard.ZstdDecompressor().decompress(words))
+        self.size += len(self.waiting[-1])
+        if self.size > CODED_AT_ONCE:
+            self._code()
+
+    def _code(self) -> None:
+        """Numbers the words that wait, each with the space after it: Arrow's table of values compares bytes."""
+        data = np.frombuffer(b"".join([x + b" " for x in self.waiting]).replace(b"\n", b" "), np.uint8)
+        ends = np.r_[0, np.flatnonzero(data == 32) + 1]
+        self.codes.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode())
+        self.waiting, self.size = [], 0
 
     def sort(self) -> None:
-        self.words = sorted(self.vocabulary)
-        rank = np.empty(len(self.words), np.uint32)
-        rank[[self.vocabulary[w] for w in self.words]] = np.arange(len(self.words), dtype=np.uint32)
-        codes = rank[np.concatenate(self.codes)]
+        if self.waiting:
+            self._code()
+        all_words = pa.concat_arrays([x.dictionary for x in self.codes]).dictionary_encode()
+        words = pc.binary_slice(all_words.dictionary, 0, -1)
+        in_order = pc.array_sort_indices(words)
+        self.sorted_words = words.take(in_order)
+        rank = np.empty(len(words), np.uint32)
+        rank[in_order.to_numpy()] = np.arange(len(words), dtype=np.uint32)
+        rank = rank[all_words.indices.to_numpy()]
+        before = np.cumsum([0] + [len(x.dictionary) for x in self.codes])
+        codes = np.concatenate([rank[low:][x.indices.to_numpy()] for low, x in zip(before.tolist(), self.codes)])
         self.codes.clear()
         ids, keys, place, n = np.concatenate(self.numbers, axis=1)
         self.numbers.clear()
@@ -268,27 +330,20 @@ class Subtree:
         leaf = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
         at = (np.cumsum(size) - size)[leaf] + step
-        ids, which, place = ids[leaf], keys[leaf], place[leaf] + step
-        bits = max(1, len(self.words).bit_length())
-        each = 64 // bits
-        packed = []
-        for k in range(0, self.window, each):
-            key = np.zeros(len(at), np.uint64)
-            for j in range(k, min(k + each, self.window)):
-                key = key << np.uint64(bits) | codes[at + j]
-            packed.append(key)
-        order = np.lexsort((ids, *reversed(packed)))
-        self.ids, self.keys, self.place, at = ids[order], which[order], place[order], at[order]
+        order = _in_order(codes, at, ids[leaf], self.window, max(1, len(words).bit_length()))
+        leaf, step, at = leaf[order], step[order], at[order]
+        self.ids, self.keys, self.place = ids[leaf], keys[leaf], place[leaf] + step
         self.common = np.zeros(len(at), np.int64)
-        going = np.ones(max(0, len(at) - 1), bool)
+        going = np.arange(1, len(at))
         for j in range(self.window):
-            if not going.any():
-                break
-            word = codes[at + j]
-            going &= word[1:] == word[:-1]
-            self.common[1:] += going
+            going = going[codes[at[going] + j] == codes[at[going - 1] + j]]
+            self.common[going] += 1
         self.at, self.sequence = at, codes
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.sorted_words.to_pylist()
+
     def nodes(self) -> np.ndarray:
         """Where each internal node at the depth of a window, or a leaf of its own, begins."""
         return np.flatnonzero(self.common < self.window)
@@ -326,7 +381,7 @@ def _repeats(leaves: DataFrame, n: int, n_buckets: int, window: int) -> DataFram
                     yield made(*_from_numbers(numbers))
                 else:
                     tree.add(numbers, words)
-        if tree.codes:
+        if tree.numbers:
             tree.sort()
             yield made(*tree.repeats())
 
@@ -347,7 +402,7 @@ def repeat_nodes(docs: DataFrame, window: int = WINDOW, windows_per_tree: int =
         for batch in batches:
             for numbers, words in zip(batch.column("numbers").to_pylist(), batch.column("words").to_pylist()):
                 tree.add(numbers, words)
-        if tree.codes:
+        if tree.numbers:
             tree.sort()
             begins = tree.nodes()
             size = np.diff(np.r_[begins, len(tree.ids)])

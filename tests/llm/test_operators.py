@@ -4,8 +4,9 @@ import hashlib
 import itertools
 import random
 import struct
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -394,6 +395,63 @@ def test_subtrees_compare_words_and_not_hashes(monkeypatch, weak):
         assert got == want
 
 
+@pytest.mark.parametrize("bits", [2, 5, 13, 32, 63])
+def test_windows_in_order(bits):
+    """As tuples of words and document, however few words 64 bits hold."""
+    rng = np.random.default_rng(bits)
+    codes = rng.integers(0, 3, 3000).astype(np.uint32)
+    codes[1000:1400] = codes[:400]
+    codes[2000:2100] = 1
+    at, ids = rng.permutation(len(codes) - 12), rng.integers(-5, 5, len(codes) - 12)
+    order = substring_dedup._in_order(codes, at, ids, 13, bits)
+    found = [(*codes[at[i] : at[i] + 13].tolist(), int(ids[i])) for i in order]
+    assert sorted(order.tolist()) == list(range(len(at))) and found == sorted(found)
+    assert len(substring_dedup._in_order(codes, at[:0], ids[:0], 13, bits)) == 0
+
+
+def test_words_numbered_in_several_parts(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CODED_AT_ONCE", 100)
+    rows = [(i, passage(i % 9, 30) + f" \x01{i % 4} é\x00 \x00") for i in range(40)]
+    many = substring_dedup.Subtree(13)
+    texts = [t.split(" ") for _, t in rows]
+    for (i, t), words in zip(rows, texts):
+        many.add(substring_dedup._numbers(np.array([i]), np.array([0]), np.array([0]), np.array([len(words) - 12])), zstandard.compress(t.encode()))
+    assert len(many.codes) > 10
+    many.sort()
+    assert many.words == sorted({w.encode() for t in texts for w in t})
+    assert [many.words[c].decode() for c in many.sequence.tolist()] == [w for t in texts for w in t]
+    got = sorted(zip(*(x.tolist() for x in many.repeats())))
+    first = {}
+    want = [(i, 0, k, k + 13) for (i, _), t in zip(rows, texts) for k in range(len(t) - 12) if first.setdefault(tuple(t[k : k + 13]), i) < i]
+    assert got == want
+
+
+def test_subtrees_cost_less_than_a_lookup_for_each_word():
+    """CPU time of a subtree of two million words and 380,000 windows beside that of splitting them and looking each up in a dict."""
+    rng = np.random.default_rng(5)
+    known = np.array([passage(i, 1) + str(i) for i in range(100_000)], object)
+    words = known[rng.integers(0, len(known), (100_000, 20))]
+    text = "\n".join(" ".join(x) for x in words.tolist()).encode()
+    n = np.arange(100_000)
+    numbers, packed = substring_dedup._numbers(n, 0 * n, 0 * n, 0 * n + 8), zstandard.compress(text)
+
+    def plain():
+        vocabulary = defaultdict(itertools.count().__next__)
+        return np.fromiter(map(vocabulary.__getitem__, text.split()), np.uint32), sorted(vocabulary)
+
+    def tree():
+        held = substring_dedup.Subtree(13)
+        held.add(numbers, packed)
+        held.sort()
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(seconds(tree) for _ in range(3)) < min(seconds(plain) for _ in range(3))
+
+
 def test_substrings_with_weak_hashes(spark, monkeypatch, tmp_path):
     """The whole operator, on executors whose hashes collide."""
     rows = [(i, passage(i % 5, 20) + " " + passage(i, 30)) for i in range(30)]
