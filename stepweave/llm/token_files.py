@@ -17,6 +17,7 @@ ascending doc_id.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -147,19 +148,45 @@ def splits_at_space(rules: dict) -> bool:
     return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", ())) and not rules.get("truncation") and not rules.get("padding")
 
 
-def _distinct(chunk: _words.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct word stands first, and which one each word is; told apart by hash, and then byte by byte."""
-    _, first, kind = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
-    size, own = chunk.end - chunk.start, first[kind]
-    if (size == size[own]).all():
-        later = np.flatnonzero(own != np.arange(len(own)))
-        n = size[later]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        if (chunk.data[np.repeat(chunk.start[later], n) + step] == chunk.data[np.repeat(chunk.start[own[later]], n) + step]).all():
-            return first, kind
-    joined, place = chunk.data.tobytes(), {}
-    kind = np.array([place.setdefault(joined[a:b], len(place)) for a, b in zip(chunk.start.tolist(), chunk.end.tolist())], np.int64)
-    return np.unique(kind, return_index=True)[1], kind
+#: Of bytes in _kinds: white space, and bytes whose words go through the slower ways.
+_SPACE, _ODD = 0, 15
+
+
+def _kinds(parted: Callable[[str], list[str]], special: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and whether the pattern cuts between two bytes of kinds a and b, at [16 * a + b].
+
+    Plain bytes have kinds from 1 on: ASCII letters, digits and marks without
+    those of contractions and special tokens, where neighbours alone decide about
+    a cut. If they don't in all short strings of kinds, no byte is plain.
+    """
+    kind = np.full(256, _ODD, np.uint8)
+    kind[np.flatnonzero(_words._SPACE)] = _SPACE
+    cut = np.zeros(256, bool)
+    if any(x.isascii() and x.isalnum() for x in special):
+        return kind, cut
+    plain = [c for c in map(chr, range(33, 127)) if c != "'" and (c.isalnum() or not any(c in x for x in special))]
+    joined = {c: (*(parted(c + x) == [c + x] for x in plain), *(parted(x + c) == [x + c] for x in plain)) for c in plain}
+    alike = [[c for c in plain if joined[c] == x] for x in dict.fromkeys(joined.values())]
+    if len(alike) >= _ODD:
+        return kind, cut
+    own = kind.copy()
+    for k, chars in enumerate(alike, 1):
+        own[[ord(c) for c in chars]] = k
+    for a, x in enumerate(alike, 1):
+        for b, y in enumerate(alike, 1):
+            cut[16 * a + b] = parted(x[0] + y[-1]) != [x[0] + y[-1]]
+
+    def as_cut(text: str) -> list[str]:
+        k = [int(own[ord(c)]) for c in text]
+        at = [0, *(i for i in range(1, len(k)) if cut[16 * k[i - 1] + k[i]]), len(k)]
+        return [text[x:y] for x, y in zip(at, at[1:])]
+
+    ends = [c for x in alike for c in dict.fromkeys((x[0], x[-1]))]
+    shorts = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product(ends, repeat=n)]
+    longs = ["".join(x) * 50 for n in (1, 2) for x in itertools.product(plain, repeat=n)]
+    if all(parted(x) == as_cut(x) for x in (*shorts, *longs[:: 1 + len(longs) // 300], "".join(plain))):
+        return own, cut
+    return kind, np.zeros(256, bool)
 
 
 class _Kept(dict):
@@ -187,11 +214,12 @@ class Encoder:
     """Ids of texts by a public tokenizer, the same as encoding each text whole.
 
     Where the vocabulary file's rules drop white space and never join what it
-    parts, a text's ids are those of its words: each is parted by the pattern in
-    the file and the library's model and byte letters give the ids of its parts;
-    both are kept while there is room. Words beyond Latin-1, with control
-    characters or with a special token go through the library's whole path, and
-    with any other vocabulary all texts do.
+    parts, a text's ids are those of its words. Words of plain bytes are cut into
+    parts for a whole chunk at once; others one by one by the pattern in the
+    file. The library's model and byte letters give the ids of parts, which are
+    kept while there is room. Words beyond Latin-1, with control characters or
+    with a special token go through the library's whole path, and with any other
+    vocabulary all texts do.
     """
 
     def __init__(self, path: str):
@@ -215,8 +243,12 @@ class Encoder:
             self.odd = regex.compile(r"[^\x00-\xff]|[\x00-\x08\x0e-\x1f\x7f-\xa0]").search
             #: Whether the pattern takes letters in a row as one part.
             self.runs = all(self.parted(x * n) == [x * n] for x in ("a", "Zq", "é", "aß") for n in (1, 2, 9, 100))
+            self.kind, self.cut = _kinds(self.parted, self.special)
+            self.plain = bytes(np.flatnonzero((self.kind != _SPACE) & (self.kind != _ODD)).tolist())
+            shown = self.plain.lower() if self.lower else self.plain
+            self.shown = np.frombuffer(bytes(range(256)).translate(bytes.maketrans(self.plain, shown)), np.uint8)
         self.parts = _Kept(self._part)
-        self.words = _Kept(self._word)
+        self.units = _Kept(self._unit)
 
     def _part(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
@@ -231,22 +263,49 @@ class Encoder:
         parts = self.parts
         return b"".join([parts[x] for x in self.parted(word.lower() if self.lower else word)])
 
+    def _unit(self, raw: bytes) -> bytes:
+        """Of a part of plain bytes, or of a whole word that has others."""
+        if raw.translate(None, self.plain):
+            return self._word(raw)
+        ids = [t.id for t in self.model.tokenize(raw.decode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, chunk: _words.Chunk) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The parts of plain words and the other words whole, one after the other, and where each text's begin."""
+        data = self.shown[chunk.data]
+        kind = self.kind[data]
+        at = np.flatnonzero(self.cut[kind[:-1] * np.uint8(16) + kind[1:]]) + 1
+        odd = np.zeros(len(chunk.start), bool)
+        odd[np.searchsorted(chunk.start, np.flatnonzero(kind == _ODD), "right") - 1] = True
+        if odd.any():
+            at = at[~odd[np.searchsorted(chunk.start, at, "right") - 1]]
+            start, size = chunk.start[odd], (chunk.end - chunk.start)[odd]
+            own = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            data[own] = chunk.data[own]
+        begins, ends = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        begins[chunk.start] = begins[at] = ends[chunk.end] = ends[at] = True
+        begin = np.flatnonzero(begins)
+        bounds = np.r_[0, np.cumsum(np.flatnonzero(ends) - begin)]
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(data[kind != _SPACE])])
+        return units.dictionary_encode(), np.searchsorted(begin, chunk.text_start)
+
     def encode(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, each closed by end_id, and how many each has."""
         if self.by_word:
-            chunk = _words.Chunk(raw)
-            joined, words = chunk.data.tobytes(), self.words
-            first, kind = _distinct(chunk)
-            found = [words[joined[a:b]] for a, b in zip(chunk.start[first].tolist(), chunk.end[first].tolist())]
+            coded, first = self._cut(_words.Chunk(raw))
+            units, kind = self.units, coded.indices.to_numpy()
+            _, bounds, data = coded.dictionary.buffers()
+            bounds, joined = np.frombuffer(bounds, np.int64).tolist(), data.to_pybytes()
+            found = [units[joined[a:b]] for a, b in itertools.pairwise(bounds[: len(coded.dictionary) + 1])]
             flat = np.frombuffer(b"".join(found), "<u4")
-            size = np.array([len(x) // 4 for x in found], np.int64)
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
             begin = np.cumsum(size) - size
             n = size[kind]
             stop = np.r_[0, np.cumsum(n)]
             ids = flat[np.arange(int(stop[-1])) + np.repeat(begin[kind] - stop[:-1], n)]
-            ends = stop[chunk.first]
+            ends = stop[first]
             self.parts.trim()
-            self.words.trim()
+            units.trim()
         else:
             found = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast([x.decode() for x in raw], add_special_tokens=False)]
             ends = np.cumsum([0] + [len(x) for x in found])

@@ -645,6 +645,46 @@ def test_encoder_is_the_library(tokenizer, texts):
     assert at == len(ids)
 
 
+def test_words_of_plain_bytes_are_cut_together(tokenizer, monkeypatch):
+    """No word of ASCII letters, digits and marks is looked at by itself, and each part goes to the model once."""
+    path, whole = tokenizer
+    calls = Counter()
+    one, part = token_files.Encoder._word, token_files.Encoder._unit
+    monkeypatch.setattr(token_files.Encoder, "_word", lambda self, raw: calls.update(["word"]) or one(self, raw))
+    monkeypatch.setattr(token_files.Encoder, "_unit", lambda self, raw: calls.update([raw]) or part(self, raw))
+    words = [passage(i, 1) for i in range(200)]
+    many = [" ".join(f"{w}{mark} {w.title()}{mark}" for w in words) for mark in ("", ",", ".", "...", "!?", "7", "42)", '"')]
+    ids, counts = token_files.Encoder(path).encode([t.encode() for t in many], 2)
+    assert ids.tolist() == [x for t in many for x in [*whole.encode(t, add_special_tokens=False).ids, 2]] and counts.sum() == len(ids)
+    assert not calls["word"] and set(calls.values()) == {1}
+    assert len(calls) == len(set(words) | {",", ".", "...", "!?", "7", "4", "2", ")", '"'})
+
+
+def test_encoder_on_odd_characters(tokenizer):
+    path, whole = tokenizer
+    rng = random.Random(17)
+    kinds = ["abcdefgzABCstmdrvl", "0123456789", "!\"#$%&()*+,-./:;=?@[]^_`{}~", "'<|>", " \t\n\x0b\x0c\r", "éÀßñ×÷", "漢ﬁİΣς\u0301\u0307", "\x00\x1c\x1f\x7f\x85\xa0"]
+    for weights in ((6, 1, 1, 0, 2, 0, 0, 0), (4, 2, 3, 1, 2, 0, 0, 0), (6, 1, 2, 1, 3, 2, 0, 0), (4, 1, 1, 1, 2, 1, 1, 1)):
+        many = ["".join(rng.choice(k) for k in rng.choices(kinds, weights, k=rng.randrange(60))) for _ in range(800)] + ["a<|endoftext|>b c", "I'll don'T x's' 's", "", " "]
+        ids, counts = token_files.Encoder(path).encode([t.encode() for t in many], 2)
+        at = 0
+        for t, n in zip(many, counts):
+            assert ids[at : at + n].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2], t
+            at += n
+        assert at == len(ids)
+
+
+def test_bytes_are_plain_only_where_neighbours_decide():
+    import regex
+
+    plain = lambda pattern, special=(): int((token_files._kinds(regex.compile(pattern).findall, list(special))[0] % token_files._ODD != 0).sum())
+    assert plain(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+") == 93
+    assert plain(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", ["<|x|>"]) == 90
+    assert plain(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", ["PAD"]) == 0
+    assert plain(r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+") == 0
+    assert plain(r"[^\s\p{L}\p{N}]?\p{L}+|\p{N}|[^\s\p{L}\p{N}]+") == 0
+
+
 def test_encoder_with_weak_hashes(tokenizer, monkeypatch):
     path, whole = tokenizer
     monkeypatch.setattr(token_files._words, "mix", lambda x: x.astype(np.uint64) % np.uint64(2))
