@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int, share
     """Rows for subtrees: ids, places and windows of leaves, and their words; and, if share, rows of known repeats."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
         remembered: dict[bytes, int] = {}
         for number, (columns, raw) in enumerate(_words.rows_in_chunks(batches, limit=CHUNK_BYTES)):
             named = [i for i, x in enumerate(columns["doc_id"]) if x is not None]
@@ -217,7 +218,9 @@ def _leaves(docs: DataFrame, window: int, trees: np.ndarray, n_trees: int, share
                 part = order[x:y]
                 rows.append((int(tree[part[0]]), False, _numbers(who[part], which[part], place[part], leaves.n[part]), press.compress(b"\n".join([texts[i] for i in part.tolist()]))))
             if share and len(known):
-                rows.append((number % n_trees, True, _numbers(who[known], which[known], place[known], place[known] + leaves.n[known] + window - 1), b""))
+                # By task and chunk: numbers of chunks alone would bring the first ones of all tasks together.
+                any_tree = int(_words.mix(np.array([task << 32 | number]))[0] % np.uint64(n_trees))
+                rows.append((any_tree, True, _numbers(who[known], which[known], place[known], place[known] + leaves.n[known] + window - 1), b""))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["tree", "known", "numbers", "words"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(emit, _LEAVES)

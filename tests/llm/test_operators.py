@@ -490,6 +490,14 @@ def test_known_repeats_stay_out_of_subtrees(spark):
     assert most[0] == most[1]
 
 
+def test_known_repeats_of_all_tasks_are_dealt_evenly(spark):
+    """Each task's first chunk has known repeats; they don't meet in one subtree."""
+    df = spark.createDataFrame([(i, 0, f"{passage(i, 3)} {passage(999, 60)}") for i in range(480)], "doc_id long, text_key long, text string").repartition(24)
+    trees, count = substring_dedup.plan_trees(substring_dedup._prefix_counts(df, 13), 100, 1)
+    known = Counter(r["tree"] for r in substring_dedup._leaves(df, 13, trees, count).collect() if r["known"])
+    assert count >= 30 and sum(known.values()) == 24 and max(known.values()) <= 6 and all(0 <= k < count for k in known)
+
+
 def test_substrings_edges(edges, empty):
     rows = substring_dedup.substring_dedup(edges).collect()
     assert len(rows) == len(EDGES)
